@@ -6,8 +6,7 @@ normalisation, and the sequence-matching ratio.  Those functions are built by
 factories so that they travel to executors by value.
 """
 
-from __future__ import annotations
-
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -125,27 +124,21 @@ def _folder():
 
 
 def _fold_udf():
-    import pandas as pd
-
-    make = _folder
+    fold = _folder()
 
     @F.pandas_udf("string")
     def fold_text(texts: pd.Series) -> pd.Series:
-        fold = make()
         return texts.map(lambda t: None if t is None else fold(t)[0])
 
     return fold_text
 
 
 def _offsets_udf():
-    import pandas as pd
-
-    make = _folder
+    fold = _folder()
 
     @F.pandas_udf("array<int>")
     def offsets(texts: pd.Series, positions: pd.Series) -> pd.Series:
         """For folded positions: their starts, then their ends (all when null)."""
-        fold = make()
 
         def one(text, wanted):
             if text is None:
@@ -179,8 +172,6 @@ def fold_offsets(c: Column | str, positions: Column) -> Column:
 
 def closest_ratio_udf():
     """Arrow function (quote, text) -> similarity of the best-aligned window."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def closest_ratio(quotes: pd.Series, texts: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher

@@ -94,8 +94,8 @@ def dedupe_codings(codings: DataFrame, order: tuple[str, ...] = ("ord",)) -> Dat
     return first.select(*keys, "_r.*").select(*codings.columns)
 
 
-def _checked(violations: DataFrame) -> None:
-    bad = [r[0] for r in violations.limit(5).collect()]
+def _checked(violations: list[DataFrame]) -> None:
+    bad = [r[0] for r in union_all([v.toDF("why") for v in violations]).limit(5).collect()]
     if bad:
         raise ValueError("; ".join(bad))
 
@@ -112,20 +112,18 @@ def code_merge(
     used = project.codings.select("code_id").distinct()
     old, new = F.col("old_id"), F.col("new_id")
     _checked(
-        union_all(
-            [
-                pairs.where(old == new).select(F.concat(old, F.lit(": a code cannot be merged into itself"))),
-                pairs.join(known, new == F.col("code_id"), "left_anti").select(
-                    F.concat(new, F.lit(" is not in the codebook"))
-                ),
-                pairs.join(pairs.select(old.alias("o")), new == F.col("o"), "left_semi").select(
-                    F.concat(new, F.lit(" is merged away by the same table"))
-                ),
-                pairs.join(known.unionByName(used), old == F.col("code_id"), "left_anti").select(
-                    F.concat(F.lit("no code called "), old)
-                ),
-            ]
-        )
+        [
+            pairs.where(old == new).select(F.concat(old, F.lit(": a code cannot be merged into itself"))),
+            pairs.join(known, new == F.col("code_id"), "left_anti").select(
+                F.concat(new, F.lit(" is not in the codebook"))
+            ),
+            pairs.join(pairs.select(old.alias("o")), new == F.col("o"), "left_semi").select(
+                F.concat(new, F.lit(" is merged away by the same table"))
+            ),
+            pairs.join(known.unionByName(used), old == F.col("code_id"), "left_anti").select(
+                F.concat(F.lit("no code called "), old)
+            ),
+        ]
     )
     return _apply_change(project, pairs, order)
 
@@ -150,7 +148,7 @@ def code_retire(
                 F.concat(F.col("old_id"), F.lit(" still has codings"))
             )
         )
-    _checked(union_all(checks))
+    _checked(checks)
     return _apply_change(project, pairs, order)
 
 

@@ -31,6 +31,7 @@ from weftline.functions.text import (
     is_plain,
     occurrences,
 )
+from weftline.operators.ordered import checkpointed
 from weftline.schema import FUZZY_FLOOR, MIN_QUOTE
 
 BROADCAST_QUOTES = 200_000
@@ -194,7 +195,8 @@ def match_quotes(quotes: DataFrame, sources: DataFrame, strategy: str = "auto")
         F.length("nq").alias("n"),
         F.explode(occurrences(F.col("norm"), F.col("nq"))).alias("p"),
     )
-    return _original_offsets(hits, sources)
+    # hits are few and used by several branches below; the corpus is read once
+    return _original_offsets(checkpointed(hits), sources)
 
 
 def _original_offsets(hits: DataFrame, sources: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Coded projects derived from the given tables.
 
 Each table is one SQL text that reads the same in Spark and in the checking engine;
-``{name}`` stands for a given table.  ``star`` is a wide, skewed set of codings over
+``{name}`` stands for a given table and ``end_``, ``exclude_`` for columns whose names
+are reserved words there.  ``star`` is a wide, skewed set of codings over
 orders; ``text`` has documents, spans and quotes.
 """
 
@@ -32,7 +33,7 @@ select distinct upper(replace(p_brand, 'Brand#', 'BRD-')) code_id,
        case when cast(replace(p_brand, 'Brand#', '') as int) % 4 = 0 then 'neg'
             when cast(replace(p_brand, 'Brand#', '') as int) % 4 = 1 then 'pos' else '' end valence,
        concat('Anything by ', p_brand) include,
-       concat('Use BRD-', cast((cast(replace(p_brand, 'Brand#', '') as int) * 7) % 40 as string), ' or PRT-X for the rest') exclude,
+       concat('Use BRD-', cast((cast(replace(p_brand, 'Brand#', '') as int) * 7) % 40 as string), ' or PRT-X for the rest') exclude_,
        '' anchor, '' note
 from {part}
 """
@@ -115,7 +116,7 @@ select concat('TXT-', cast(k as string)) code_id,
        concat('Theme ', cast(k as string)) name, concat('What theme ', cast(k as string), ' is about') definition,
        case when k % 4 = 0 then 'pos' when k % 4 = 1 then 'neg' else '' end valence,
        concat('Everything like TXT-', cast((k + 3) % 15 as string)) include,
-       concat('Not TXT-', cast((k + 1) % 14 as string), ' nor ABC-', cast(k as string)) exclude,
+       concat('Not TXT-', cast((k + 1) % 14 as string), ' nor ABC-', cast(k as string)) exclude_,
        case when k % 6 = 4 then 'X-gone' when k % 6 = 3 then coalesce(xid, '') else '' end anchor, '' note
 from (select doc_id % 14 k,
              max(case when doc_id < 14 and length(text) >= 48 then
@@ -130,9 +131,10 @@ select pid, unit,
        case when max(quality) is null then '' when max(quality) = 1 then 'good' else 'poor' end quality,
        case when max(toxic) is null then '' else cast(max(toxic) as string) end toxic,
        cast(sum(n_chars) as string) chars, cast(count(*) as string) docs
-from (select cast(cast(floor(d.doc_id / 10) as bigint) as string) pid, lang unit, quality, toxic, n_chars
-      from {documents} d left join {labels} l on d.doc_id = l.doc_id where d.doc_id % 10 <> 9) x
-group by pid, unit
+from (select cast(cast(floor(d.doc_id / 10) as bigint) as string) pid,
+             case when d.doc_id % 10 = 9 then '' else lang end unit, quality, toxic, n_chars
+      from {documents} d left join {labels} l on d.doc_id = l.doc_id) x
+where unit <> '' group by pid, unit
 """
 
 NOTES_TEXT = """
@@ -144,7 +146,7 @@ select concat('N', cast(doc_id as string)) note_id,
             else (concat('X-S-', lpad(cast(doc_id as string), 6, '0'), '-',
                   cast((doc_id * 13) % (length(text) - 40) as string), '-',
                   cast((doc_id * 13) % (length(text) - 40) + 20 + doc_id % 20 as string))) end evidence
-from {documents} where length(text) >= 48 and doc_id % 7 = 1
+from {documents} where length(text) >= 48
 """
 
 # the sheet somebody filled in: benchmark passages as quotes
@@ -153,7 +155,9 @@ select cast(item_id + 2 as int) sheet_row, text quote,
        case when item_id % 13 = 12 then '' when item_id % 13 = 11 then 'NOPE-1; TXT-1'
             else concat('txt-', cast(item_id % 11 as string), case when item_id % 3 = 0 then ' | TXT-2' else '' end) end code,
        case when item_id % 9 = 8 then 'great' when item_id % 4 = 0 then 'Positive' when item_id % 4 = 1 then 'n' else '' end valence,
-       concat('row ', cast(item_id as string)) note, '' pid, '' unit
+       concat('row ', cast(item_id as string)) note,
+       case when item_id % 9 = 0 then 'PID3' when item_id % 10 = 5 then 'pid 999999' else '' end pid,
+       case when item_id % 4 in (0, 3) then 'EN' else '' end unit
 from {benchmark}
 """
 
@@ -162,11 +166,94 @@ select cast(conv_id as string) path, cast(turn as int) seq, cast(turn * 37 as in
 from {conversations}
 """
 
+# the same turns with made speakers, so that neighbours can be one turn
+TURNS_SPOKEN = """
+select concat('rec/', cast(conv_id as string), '-', cast(cast(floor(turn / 50) as int) as string), '.vtt') path,
+       cast(turn % 50 as int) seq, cast(turn * 37 as int) t,
+       case when turn % 3 = 0 then 'Interviewer' else concat('PID', cast(conv_id as string)) end speaker, text,
+       cast(conv_id as string) pid
+from {conversations}
+"""
+
+# fifty turns of a conversation are one transcript file
+CUES = """
+select concat('rec/', cast(conv_id as string), '-', cast(cast(floor(turn / 50) as int) as string), '.vtt') path,
+       cast(turn % 50 as int) slot, turn,
+       concat('00:', lpad(cast(cast(floor(turn % 50 / 2) as int) as string), 2, '0'), ':',
+              case when turn % 2 = 0 then '05' else '35' end, '.250 --> 00:59:00.000\n<v ', role, '>', text, '</v>\n') cue,
+       cast(cast(floor(turn % 50 / 2) as int) * 60 + case when turn % 2 = 0 then 5 else 35 end as int) t,
+       role who, text, conv_id
+from {conversations}
+"""
+
+ROSTER = """
+select distinct concat('rec/', cast(conv_id as string), '-', cast(cast(floor(turn / 50) as int) as string), '.vtt') path,
+       cast(conv_id as string) pid,
+       case when conv_id % 2 = 0 then 'that user tion please' else 'the assistant s1234567 menta' end blob
+from {conversations} where role <> 'assistant'
+"""
+
+# people with a unique name word and a common one, and recordings that name some of them
+PEOPLE = """
+select c_custkey ord, case when c_custkey % 40 = 39 then '' else concat('P-', cast(c_custkey as string)) end pid,
+       concat('name', translate(lpad(cast(c_custkey as string), 6, '0'), '0123456789', 'abcdefghij'), ' nation',
+              translate(cast(c_nationkey % 3 as string), '012', 'xyz'),
+              case when c_custkey % 4 = 0 then concat(' s', lpad(cast(c_custkey as string), 7, '0')) else '' end) blob
+from {customer}
+"""
+
+RECORDINGS = """
+select concat('rec ', cast(s_suppkey as string), '.vtt') path, 'recordings' folder,
+       concat('Name', translate(lpad(cast(s_suppkey * 7 as string), 6, '0'), '0123456789', 'abcdefghij'), ' Nation',
+              translate(cast(s_nationkey % 3 as string), '012', 'xyz')) speaker,
+       case when s_suppkey % 5 = 0 then concat('S', lpad(cast(s_suppkey * 4 as string), 7, '0')) else '' end student
+from {supplier}
+"""
+
+# codes merged away: every fifth brand into the next
+MERGES = """
+select distinct upper(replace(p_brand, 'Brand#', 'BRD-')) old_id,
+       concat('BRD-', cast(cast(replace(p_brand, 'Brand#', '') as int) + 1 as string)) new_id, 'too fine' note
+from {part} where cast(replace(p_brand, 'Brand#', '') as int) % 5 = 3
+"""
+
+CODE_EDITS = """
+select distinct case when k < 4 then concat('txt-', cast(k as string)) when k < 8 then concat('NEW-', cast(k as string))
+                     else concat('bad', cast(k as string)) end code_id,
+       case when k < 4 then null when k = 7 then '' else 'Lens 9' end lens,
+       case when k < 4 then null else concat('New ', cast(k as string)) end name,
+       concat('Edited ', cast(k as string)) definition
+from (select doc_id % 10 k from {documents}) d
+"""
+
+SPAN_EDITS = """
+select doc_id * 2 ord, case when doc_id % 4 = 2 then 'delete' else 'save' end op,
+       concat('S-', lpad(cast(doc_id as string), 6, '0')) source_id,
+       cast(case when doc_id % 4 = 2 then (doc_id * 13) % (length(text) - 40) else 5 end as int) start,
+       cast(case when doc_id % 4 = 2 then (doc_id * 13) % (length(text) - 40) + 20 + doc_id % 20
+                 when doc_id % 8 = 1 then length(text) + 10 else 25 end as int) end_,
+       case when doc_id % 16 = 3 then 'ZZZ-1' else concat('TXT-', cast(doc_id % 10 as string)) end code_id,
+       case when doc_id % 16 = 7 then 'odd' else 'pos' end valence, 'ann' coder, 'edited' note
+from {documents} where length(text) >= 48
+union all
+select doc_id * 2 + 1, 'save', concat('S-', lpad(cast(doc_id as string), 6, '0')), 5, 25,
+       'TXT-3', '', 'ann', 'again'
+from {documents} where length(text) >= 48 and lang = 'en'
+"""
+
+# earlier judgements, and replies of a judge by batch
+CACHE = """
+select excerpt_id, code_id, case when quality = 0 then 'neg' else 'pos' end model_valence, 'earlier' why
+from (select excerpt_id, concat('TXT-', cast((doc_id * 7 + k * 5) % 12 as string)) code_id, doc_id from ({excerpts_text}) xa) x
+join {labels} l on x.doc_id = l.doc_id
+"""
+
 ASSIGNMENT = """
 select distinct cast(cast(floor(doc_id / 10) as bigint) as string) pid,
-       concat('pass ', cast(cast(floor(doc_id / 10) as bigint) % 2 as string)) pass,
+       case when cast(floor(doc_id / 10) as bigint) % 4 = 3 then ''
+            else concat('pass ', cast(cast(floor(doc_id / 10) as bigint) % 2 as string)) end pass,
        case when cast(floor(doc_id / 10) as bigint) % 3 = 0 then 'ann' else 'jb' end coder
-from {documents} where cast(floor(doc_id / 10) as bigint) % 4 <> 3
+from {documents}
 """
 
 
@@ -186,7 +273,7 @@ def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
         sql = sql.replace("{excerpts_text}", EXCERPTS_TEXT)
     used = {t: given(spark, sf_dir, t) for t in GIVEN if "{" + t + "}" in sql}
     df = spark.sql(sql, **used)
-    return df.withColumnRenamed("end_", "end") if "end_" in df.columns else df
+    return df.withColumnsRenamed({"end_": "end", "exclude_": "exclude"})
 
 
 def star_project(spark: SparkSession, sf_dir: str) -> Project:
