@@ -29,12 +29,28 @@ FOLD_TO = "'" * len(APOSTROPHES) + '"' * len(QUOTATION_MARKS) + "-" * len(DASHES
 # one character, so a text made only of these can be folded by expressions: ASCII,
 # stable Latin-1 and Latin Extended-A, basic Cyrillic, Han, kana and Hangul
 # syllables, no-break space, and the quotes and dashes that fold one to one.
-PLAIN = (
-    r"[\x00-\x7f\x85\xa0-\xa7\xa9\xab-\xae\xb0\xb1\xb6\xb7\xbb\xbf-\xff"
-    r"\x{100}-\x{12f}\x{134}-\x{13e}\x{141}-\x{148}\x{14a}-\x{17e}"
-    r"\x{2bc}\x{400}-\x{45f}\x{2010}-\x{2015}\x{2018}\x{2019}\x{201c}\x{201d}\x{2032}"
-    r"\x{3001}\x{3002}\x{3041}-\x{3096}\x{30a1}-\x{30fa}\x{4e00}-\x{9fff}\x{ac00}-\x{d7a3}]"
+PLAIN_RANGES = (
+    (0x00, 0x7F), (0x85, 0x85), (0xA0, 0xA7), (0xA9, 0xA9), (0xAB, 0xAE), (0xB0, 0xB1),
+    (0xB6, 0xB7), (0xBB, 0xBB), (0xBF, 0xFF), (0x100, 0x12F), (0x134, 0x13E), (0x141, 0x148),
+    (0x14A, 0x17E), (0x2BC, 0x2BC), (0x400, 0x45F), (0x2010, 0x2015), (0x2018, 0x2019),
+    (0x201C, 0x201D), (0x2032, 0x2032), (0x3001, 0x3002), (0x3041, 0x3096), (0x30A1, 0x30FA),
+    (0x4E00, 0x9FFF), (0xAC00, 0xD7A3),
 )
+PLAIN = "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in PLAIN_RANGES) + "]"
+
+
+def _plain_table() -> tuple[str, str]:
+    """One character-to-character table for plain texts: spaces, quotes, dashes, case."""
+    to = dict(zip(FOLD_FROM, FOLD_TO)) | {c: " " for c in SPACES if c != " "}
+    for first, last in PLAIN_RANGES[:-2]:  # no case beyond kana
+        for code in range(first, last + 1):
+            c = chr(code)
+            if c not in to and c.lower() != c:
+                to[c] = c.lower()
+    return "".join(to), "".join(to.values())
+
+
+PLAIN_FROM, PLAIN_TO = _plain_table()
 
 
 def _c(c: Column | str) -> Column:
@@ -64,13 +80,14 @@ def word_count(c: Column | str) -> Column:
 
 
 def is_plain(c: Column | str) -> Column:
-    """True when expressions alone fold this text correctly."""
-    return _c(c).rlike(rf"\A{PLAIN}*+\z")
+    """True when expressions alone fold this text correctly; ASCII is told by its size."""
+    c = _c(c)
+    return (F.octet_length(c) == F.length(c)) | c.rlike(rf"\A{PLAIN}*+\z")
 
 
 def fold_plain(c: Column | str) -> Column:
     """Folded form of a plain text, entirely on the JVM."""
-    return F.lower(squash(F.translate(_c(c), FOLD_FROM, FOLD_TO)))
+    return F.btrim(F.regexp_replace(F.translate(_c(c), PLAIN_FROM, PLAIN_TO), " {2,}", " "))
 
 
 def _folder():
@@ -160,9 +177,7 @@ def fold(c: Column | str) -> Column:
     the Arrow batch and are folded by expressions.
     """
     c = _c(c)
-    return F.coalesce(
-        F.when(is_plain(c), fold_plain(c)), _fold_udf()(F.when(~is_plain(c), c))
-    )
+    return F.coalesce(_fold_udf()(F.when(~is_plain(c), c)), fold_plain(c))
 
 
 def fold_offsets(c: Column | str, positions: Column) -> Column:

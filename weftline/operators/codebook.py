@@ -29,26 +29,29 @@ def lens_for_prefix(codes: DataFrame) -> DataFrame:
         .groupBy("prefix", "lens")
         .agg(F.count(F.lit(1)).alias("n"), F.min("code_id").alias("first"))
         .groupBy("prefix")
-        .agg(F.min_by("lens", F.struct(-F.col("n"), "first")).alias("lens"))
+        .agg(F.min_by("lens", F.struct(-F.col("n"), "first", "lens")).alias("lens"))
     )
 
 
 # ---------------------------------------------------------------- register
 
 
-def _jump(edges: DataFrame, rounds: int) -> DataFrame:
-    """Follow every edge ``2**rounds`` steps, doubling the stride each round."""
-    reach = checkpointed(edges)
-    for _ in range(rounds):
-        onward = reach.select(F.col("old_id").alias("via"), F.col("new_id").alias("far"))
-        doubled = checkpointed(
-            reach.join(onward, F.col("new_id") == F.col("via"), "left").select(
-                "old_id", F.coalesce("far", "new_id").alias("new_id"),
-                (F.col("far").isNotNull() & (F.col("far") != F.col("new_id"))).alias("moved"),
+def _jump(edges: DataFrame, doublings: int) -> DataFrame:
+    """Follow every edge ``2**doublings`` steps; stops early when nothing moves.
+
+    The stride doubles with each self-join, three of them to a materialised round.
+    """
+    reach = edges
+    for _ in range(0, doublings, 3):
+        start = reach.withColumn("was", F.col("new_id"))
+        for _ in range(3):
+            onward = start.select(F.col("old_id").alias("via"), F.col("new_id").alias("far"))
+            start = start.join(onward, F.col("new_id") == F.col("via"), "left").select(
+                "old_id", F.coalesce("far", "new_id").alias("new_id"), "was"
             )
-        )
-        reach = doubled.drop("moved")
-        if doubled.where("moved").isEmpty():
+        round_ = checkpointed(start)
+        reach = round_.drop("was")
+        if round_.where("was <> new_id").isEmpty():
             break
     return reach
 
@@ -64,8 +67,8 @@ def register_resolve(retired: DataFrame) -> DataFrame:
     else:
         latest = F.max_by(strip(F.coalesce("new_id", F.lit(""))), F.struct("date", "new_id"))
     direct = checkpointed(retired.groupBy("old_id").agg(latest.alias("new_id")))
-    rounds = max(1, math.ceil(math.log2(direct.count() + 1)))
-    far = _jump(direct, rounds)
+    doublings = max(1, math.ceil(math.log2(direct.count() + 1)))
+    far = _jump(direct, doublings)
     looping = (
         far.join(direct.select(F.col("old_id").alias("new_id")), "new_id", "left_semi")
         .select(F.col("new_id").alias("old_id"))
@@ -74,7 +77,7 @@ def register_resolve(retired: DataFrame) -> DataFrame:
     looping = checkpointed(looping)
     if looping.isEmpty():
         return far
-    entered = _jump(direct.join(looping, "old_id", "left_anti"), rounds)
+    entered = _jump(direct.join(looping, "old_id", "left_anti"), doublings)
     return entered.unionByName(looping.select("old_id", F.col("old_id").alias("new_id")))
 
 

@@ -31,7 +31,7 @@ from weftline.functions.text import (
     is_plain,
     occurrences,
 )
-from weftline.operators.ordered import checkpointed
+from weftline.operators.ordered import checkpointed, spread
 from weftline.schema import FUZZY_FLOOR, MIN_QUOTE
 
 BROADCAST_QUOTES = 200_000
@@ -42,28 +42,29 @@ COMMON_SHARE = 0.001
 COMMON_MINIMUM = 50
 
 
+def folded_sources(sources: DataFrame) -> DataFrame:
+    """(source_id, norm, same): folded text, and whether every offset stayed in place."""
+    s = spread(sources.select("source_id", "text"))
+    return s.withColumn("norm", fold("text")).select(
+        "source_id", "norm", ((F.length("norm") == F.length("text")) & is_plain("text")).alias("same")
+    )
+
+
 def normalise_text(df: DataFrame, col: str = "text") -> DataFrame:
     """Append ``norm`` and, per folded character, where it starts and ends."""
-    n = F.length("norm")
-    both = F.when(
-        is_plain(col) & (n == F.length(col)),
-        F.concat(F.sequence(F.lit(0), n - 1), F.sequence(F.lit(1), n)),
+    folded = df.withColumn("norm", fold(col)).withColumn(
+        "_same", (F.length("norm") == F.length(col)) & is_plain(col)
     )
-    mapped = F.coalesce(F.when(n > 0, both), F.col("_mapped"))
-    half = (F.size("_idx") / 2).cast("int")
+    n = F.length("norm")
+    nothing = F.array().cast("array<int>")
+    upto = lambda first, last: F.when(n > 0, F.sequence(first, last)).otherwise(nothing)
+    moved = fold_offsets(F.when(~F.col("_same"), F.col(col)), F.lit(None).cast("array<int>"))
+    half = (F.size("_moved") / 2).cast("int")
     return (
-        df.withColumn("norm", fold(col))
-        .withColumn(
-            "_mapped",
-            fold_offsets(
-                F.when(~is_plain(col) | (F.length(fold(col)) != F.length(col)), F.col(col)),
-                F.lit(None).cast("array<int>"),
-            ),
-        )
-        .withColumn("_idx", F.coalesce(mapped, F.array().cast("array<int>")))
-        .withColumn("idx", F.slice("_idx", F.lit(1), half))
-        .withColumn("idx_end", F.slice("_idx", half + 1, half))
-        .drop("_mapped", "_idx")
+        folded.withColumn("_moved", moved)
+        .withColumn("idx", F.when(F.col("_same"), upto(F.lit(0), n - 1)).otherwise(F.slice("_moved", F.lit(1), half)))
+        .withColumn("idx_end", F.when(F.col("_same"), upto(F.lit(1), n)).otherwise(F.slice("_moved", half + 1, half)))
+        .drop("_moved", "_same")
     )
 
 
@@ -156,7 +157,7 @@ def match_quotes(quotes: DataFrame, sources: DataFrame, strategy: str = "auto")
     only (key, source_id) and fetches the text of candidates afterwards.  ``auto``
     looks at the size of the quote table.
     """
-    anchors = quote_anchors(quotes)
+    anchors = checkpointed(quote_anchors(quotes))
     profile = anchors.agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.length("nq")).alias("chars"),
@@ -169,24 +170,17 @@ def match_quotes(quotes: DataFrame, sources: DataFrame, strategy: str = "auto")
     if not kinds:
         kinds = {"word"}
 
-    texts = sources.select("source_id", "text").withColumn("norm", fold("text"))
+    texts = folded_sources(sources)
+    keys = F.explode(_document_keys(F.col("norm"), kinds)).alias("key")
     if strategy == "broadcast":
-        candidates = texts.select(
-            "source_id",
-            "norm",
-            (is_plain("text") & (F.length("norm") == F.length("text"))).alias("same"),
-            F.explode(_document_keys(F.col("norm"), kinds)).alias("key"),
-        ).join(F.broadcast(anchors.select("sheet_row", "nq", "key")), "key")
+        candidates = texts.select("source_id", "norm", "same", keys).join(
+            F.broadcast(anchors.select("sheet_row", "nq", "key")), "key"
+        )
     else:
         pairs = (
-            texts.select("source_id", F.explode(_document_keys(F.col("norm"), kinds)).alias("key"))
-            .join(anchors.select("sheet_row", "nq", "key"), "key")
-            .drop("key")
-        )
-        candidates = pairs.join(
-            texts.withColumn("same", is_plain("text") & (F.length("norm") == F.length("text"))).drop("text"),
-            "source_id",
+            texts.select("source_id", keys).join(anchors.select("sheet_row", "nq", "key"), "key").drop("key")
         )
+        candidates = pairs.join(texts, "source_id")
 
     hits = candidates.where(F.contains("norm", "nq")).select(
         "sheet_row",
@@ -276,6 +270,7 @@ def resolve_unique(
     inside one source.  The message lists the places when there are at most
     ``places_shown`` of them; ``hit_places`` always holds the full list.
     """
+    hits = checkpointed(hits)
     counts = hits.groupBy("sheet_row").agg(
         F.count(F.lit(1)).alias("hits"),
         F.min(F.struct("source_id", "start", "end")).alias("_only"),
@@ -334,7 +329,7 @@ def _exhaustive(unmatched: DataFrame, sources: DataFrame) -> DataFrame:
                     rows.append((row, top[1], top[0]))
             yield pd.DataFrame(rows, columns=["sheet_row", "source_id", "similarity"])
 
-    folded = sources.select("source_id", fold("text").alias("norm"))
+    folded = folded_sources(sources).drop("same")
     return folded.mapInPandas(best, f"sheet_row {dtype}, source_id string, similarity double")
 
 
@@ -345,7 +340,7 @@ def _blocked(unmatched: DataFrame, sources: DataFrame) -> DataFrame:
     blocked on the rarest of them.  All sources that share a blocking word are
     scored, none is cut off.
     """
-    folded = sources.select("source_id", fold("text").alias("norm"))
+    folded = folded_sources(sources).drop("same")
     words = folded.select("source_id", F.explode(F.array_distinct(F.split("norm", " "))).alias("word"))
     wanted = unmatched.select("sheet_row", F.explode(F.array_distinct(F.split("nq", " "))).alias("word"))
     found = words.join(wanted.select("word").distinct(), "word", "left_semi")
@@ -374,6 +369,7 @@ def fuzzy_closest(
     ``blocked`` scores sources that share an uncommon word.  ``auto`` compares the
     number of quotes times the size of the corpus with a fixed amount of work.
     """
+    unmatched = checkpointed(unmatched.select("sheet_row", "nq"))
     if strategy == "auto":
         size = unmatched.count()
         chars = sources.agg(F.sum(F.length("text"))).first()[0] or 0

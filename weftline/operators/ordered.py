@@ -27,6 +27,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input that arrives in fewer pieces than there are cores.
+
+    A large input has more pieces than that and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def largest_group(df: DataFrame, within: list[str]) -> int:
     """Rows of the biggest group; map-side combined, one number to the driver."""
     return df.groupBy(*within).count().agg(F.max("count")).first()[0] or 0

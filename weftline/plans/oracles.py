@@ -134,7 +134,7 @@ from (select case when c_custkey % 3 = 0 then concat('x', c_custkey) else cast(c
 """)
 LENS_FOR_PREFIX = """
 select prefix, lens from (select upper(split_part(code_id, '-', 1)) prefix, lens,
-  row_number() over (partition by upper(split_part(code_id, '-', 1)) order by count(*) desc, min(code_id)) r
+  row_number() over (partition by upper(split_part(code_id, '-', 1)) order by count(*) desc, min(code_id), lens) r
   from {codes} where trim(lens) <> '' group by 1, 2) where r = 1
 """
 text("stub_codes", """
@@ -457,7 +457,7 @@ star("dominance", """
 select pid, n, round_even(100.0::double * n / (select count(*) from codings), 1) as share, 100.0::double * n / (select count(*) from codings) > 25 as flag
 from (select pid, count(*) n from coded group by pid) order by n desc, pid limit 1
 """)
-text("duplicate_passages", f"select lower({strip('text')}) as text, count(*) as n from excerpts where {strip('text')} <> '' group by 1 having count(*) > 1")
+text("duplicate_passages", f"select lower({strip('left(text, 4)')}) as text, count(*) as n from excerpts where {strip('left(text, 4)')} <> '' group by 1 having count(*) > 1")
 text("no_lens_codes", "select code_id from codes where lens = ''")
 text("audit_report", f"""
 select "check", severity, count(*) as n, string_agg(item, '; ' order by item) filter (r <= 5) as examples from (

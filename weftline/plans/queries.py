@@ -560,7 +560,7 @@ def dominance(p):
 
 @text_query
 def duplicate_passages(p):
-    return au.duplicate_passages(p)
+    return au.duplicate_passages(p.with_(excerpts=p.excerpts.withColumn("text", F.left("text", F.lit(4)))))
 
 
 @text_query
@@ -979,14 +979,11 @@ def transcript_body(spark, sf):
 @query
 def unresolved_report(spark, sf):
     p = sheet_project(spark, sf)
-    rows, r1 = fi.sheet_row_gate(derive(spark, sf, ad.SHEET))
-    rows, r2 = fi.code_known_gate(rows, p)
-    rows, r3 = fi.valence_gate(rows)
-    rows, r4 = fi.quote_min_length(rows)
+    rows, gated = fi.gate_sheet(p, derive(spark, sf, ad.SHEET))
     hits = ma.match_quotes(rows.select("sheet_row", "nq"), p.sources).join(p.sources.select("source_id", "pid", "unit"), "source_id")
-    _, many, _ = ma.resolve_unique(ma.hint_narrow(hits, rows), rows)
+    _, many, _ = ma.resolve_unique(ma.hint_narrow(hits, rows), rows, p.unit_label)
     r5 = many.select("sheet_row", "reason").join(rows.select("sheet_row", F.substring("quote", 1, 60).alias("quote")), "sheet_row")
-    return fi.unresolved_report(r1, r2, r3, r4, r5).select("sheet_row", "quote", "reason")
+    return fi.unresolved_report(gated, r5).select("sheet_row", "quote", "reason")
 
 
 @query
