@@ -191,11 +191,16 @@ def closest_ratio_udf():
     def closest_ratio(quotes: pd.Series, texts: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
 
-        def one(q, t):
-            at = SequenceMatcher(None, q, t).find_longest_match(0, len(q), 0, len(t)).b
-            return SequenceMatcher(None, q, t[at : at + len(q)]).ratio()
-
-        return pd.Series([one(q, t) for q, t in zip(quotes, texts)], dtype="float64")
+        out, probe, indexed = [0.0] * len(quotes), SequenceMatcher(None, "", ""), None
+        for i in sorted(range(len(texts)), key=texts.iloc.__getitem__):
+            q, t = quotes.iloc[i], texts.iloc[i]
+            if t != indexed:  # a text is indexed once for all its quotes
+                probe.set_seq2(t)
+                indexed = t
+            probe.set_seq1(q)
+            at = probe.find_longest_match(0, len(q), 0, len(t)).b
+            out[i] = SequenceMatcher(None, q, t[at : at + len(q)]).ratio()
+        return pd.Series(out, dtype="float64")
 
     return closest_ratio
 

@@ -314,19 +314,18 @@ def _exhaustive(unmatched: DataFrame, sources: DataFrame) -> DataFrame:
         import pandas as pd
 
         for batch in batches:
-            texts = list(zip(batch["source_id"], batch["norm"]))
-            rows = []
-            for row, q in quotes:
-                top = (0.0, None)
-                probe = SequenceMatcher(None, q, "")
-                for source, t in texts:
-                    probe.set_seq2(t)
+            top = {}
+            probe = SequenceMatcher(None, "", "")
+            for source, t in zip(batch["source_id"], batch["norm"]):
+                probe.set_seq2(t)  # indexed once per text, for all quotes
+                for row, q in quotes:
+                    probe.set_seq1(q)
                     at = probe.find_longest_match(0, len(q), 0, len(t)).b
                     r = SequenceMatcher(None, q, t[at : at + len(q)]).ratio()
-                    if r > top[0] or (r == top[0] and top[1] is not None and source < top[1]):
-                        top = (r, source)
-                if top[1] is not None:
-                    rows.append((row, top[1], top[0]))
+                    score, kept = top.get(row, (0.0, None))
+                    if r > score or (r == score and kept is not None and source < kept):
+                        top[row] = (r, source)
+            rows = [(row, source, r) for row, (r, source) in top.items()]
             yield pd.DataFrame(rows, columns=["sheet_row", "source_id", "similarity"])
 
     folded = folded_sources(sources).drop("same")
@@ -351,13 +350,16 @@ def _blocked(unmatched: DataFrame, sources: DataFrame) -> DataFrame:
     keys = ranked.where(F.col("df") <= F.greatest(F.lit(COMMON_MINIMUM), n * COMMON_SHARE)).select(
         "sheet_row", "word"
     ).unionByName(rarest.select("sheet_row", F.col("_r.word").alias("word"))).distinct()
-    pairs = found.join(keys, "word").select("sheet_row", "source_id").distinct()
-    return (
-        pairs.join(unmatched.select("sheet_row", "nq"), "sheet_row")
-        .join(folded, "source_id")
-        .select("sheet_row", "source_id", closest_ratio_udf()("nq", "norm").alias("similarity"))
-        .where("similarity > 0")
-    )
+    pairs = checkpointed(found.join(keys, "word").select("sheet_row", "source_id").distinct())
+    asked = pairs.join(unmatched.select("sheet_row", "nq"), "sheet_row")
+    if pairs.count() <= BROADCAST_QUOTES:
+        # texts stay where they are read and are scored there
+        met = folded.join(F.broadcast(asked), "source_id")
+    else:
+        met = folded.join(asked, "source_id")
+    return met.select(
+        "sheet_row", "source_id", closest_ratio_udf()("nq", "norm").alias("similarity")
+    ).where("similarity > 0")
 
 
 def fuzzy_closest(

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.operators.ordered import spread
 from weftline.project import Project
 
 GIVEN = ("customer", "supplier", "part", "orders", "lineitem", "documents", "benchmark", "labels", "conversations")
@@ -39,13 +40,13 @@ from {part}
 """
 
 EXCERPTS_STAR = """
-select distinct concat('X-', cast(l_orderkey as string), '-', cast(l_linenumber as string)) excerpt_id,
+select concat('X-', cast(l_orderkey as string), '-', cast(l_linenumber as string)) excerpt_id,
        concat('O-', cast(o_orderkey as string)) source_id,
        cast(o_custkey as string) pid,
        case when l_linenumber = 7 then '' else cast(o_orderkey as string) end unit,
        case when l_linenumber <= 3 then 'survey' when l_linenumber <= 5 then 'diary' else 'interview' end kind,
        l_linenumber * 10 start, l_linenumber * 10 + 8 end_
-from {lineitem} join {orders} on l_orderkey = o_orderkey
+from (select distinct l_orderkey, l_linenumber from {lineitem}) l join {orders} on l_orderkey = o_orderkey
 """
 
 CODINGS_STAR = """
@@ -264,7 +265,8 @@ def expand(sql: str, **names: str) -> str:
 
 
 def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; one that comes in few row groups is spread over the cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

@@ -22,6 +22,11 @@ def _relative(path: Column, root: str) -> Column:
     return F.regexp_replace(path, r"\A.*?\Q" + base + r"\E/", "")
 
 
+def _plain_path(path: Column) -> Column:
+    """File paths in row metadata are URL-encoded."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def _pruned(files: DataFrame, spark: SparkSession, root: str, skip) -> DataFrame:
     """Leave out hidden folders, named folders and folders that are projects already."""
     listed = files.withColumn("file", _relative(F.col("path"), root))
@@ -29,7 +34,8 @@ def _pruned(files: DataFrame, spark: SparkSession, root: str, skip) -> DataFrame
     out = ["__pycache__", *skip]
     kept = listed.where(~F.exists(folders, lambda d: F.startswith(d, F.lit(".")) | d.isin(*out)))
     projects = (
-        listed.where(F.endswith("file", F.lit("/sources.csv")))
+        _files(spark, root, "sources.csv").select(_relative(F.col("path"), root).alias("file"))
+        .where(F.contains("file", F.lit("/")))
         .select(F.regexp_replace("file", r"sources\.csv\z", "").alias("prefix"))
     )
     prefixes = F.transform(
@@ -58,7 +64,7 @@ def scan_tables_dir(spark: SparkSession, path: str, skip: tuple[str, ...] = ())
         df = read_group(spark, g["paths"], g["encoding"], g["sep"])
         cols = [c for c in df.columns if c not in ("_file", "_ord")]
         cells = F.create_map(*[x for c in cols for x in (F.lit(c), F.col(f"`{c}`"))])
-        parts.append(df.select(_relative(F.col("_file"), path).alias("file"), F.col("_ord").alias("ord"), cells.alias("cells")))
+        parts.append(df.select(_relative(_plain_path(F.col("_file")), path).alias("file"), F.col("_ord").alias("ord"), cells.alias("cells")))
     if not parts:
         return spark.createDataFrame([], "file string, ord bigint, cells map<string,string>")
     return union_all(parts)
@@ -70,7 +76,7 @@ def scan_transcripts(spark: SparkSession, path: str, skip: tuple[str, ...] = ())
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.{vtt,srt,txt,VTT,SRT,TXT}")
         .text(path, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+        .select(_plain_path(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
     )
     kept = _pruned(texts, spark, path, skip).where(~F.lower("file").endswith(".txt") | F.col("text").rlike(TIMECODE))
     distinct = lambda pattern: F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))))
