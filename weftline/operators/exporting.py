@@ -17,7 +17,7 @@ from weftline.operators.ordered import running_sums
 from weftline.project import Project, blank, union_all
 
 RULE = "─" * 66
-LARGEST_CELL = 500_000_000
+LARGEST_CELL = 100_000_000
 
 
 def newline_remap(text: Column | str, offset: Column | str) -> Column:

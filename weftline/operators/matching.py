@@ -352,7 +352,8 @@ def _blocked(unmatched: DataFrame, sources: DataFrame) -> DataFrame:
     ).unionByName(rarest.select("sheet_row", F.col("_r.word").alias("word"))).distinct()
     pairs = checkpointed(found.join(keys, "word").select("sheet_row", "source_id").distinct())
     asked = pairs.join(unmatched.select("sheet_row", "nq"), "sheet_row")
-    if pairs.count() <= BROADCAST_QUOTES:
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("nq")).alias("chars")).first()
+    if size["n"] <= BROADCAST_QUOTES and (size["chars"] or 0) <= BROADCAST_CHARS:
         # texts stay where they are read and are scored there
         met = folded.join(F.broadcast(asked), "source_id")
     else:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GROUP_LIMIT = 1_000_000
+SPLIT_BYTES = 128 * 1024 * 1024
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -28,12 +29,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input that arrives in fewer pieces than there are cores.
+    """Use all cores on an input too small to come in that many pieces.
 
-    A large input has more pieces than that and is left as it is, without a shuffle.
+    The planner's size estimate decides, nothing is run.  An input of at least one full
+    read split per core is left as it is, without a shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
 
 
 def largest_group(df: DataFrame, within: list[str]) -> int:
