@@ -92,7 +92,7 @@ from (select concat('S-', lpad(cast(doc_id as string), 6, '0')) source_id, text,
              case when doc_id % 10 = 9 then 'interview' else 'survey' end kind, source label,
              (doc_id * 13 + k * 57) % (length(text) - 40) s,
              (doc_id * 13 + k * 57) % (length(text) - 40) + 20 + doc_id % 20 e
-      from {documents} cross join (select 0 k union all select 1 union all select 2) ks
+      from {documents} {three_spans}
       where length(text) >= 48) x
 """
 
@@ -258,10 +258,15 @@ from {documents}
 """
 
 
+# three spans of a document: the two ways to write a list of three beside a row
+THREE_LISTED = "cross join (select 0 k union all select 1 union all select 2) ks"
+THREE_EXPLODED = "lateral view explode(array(0, 1, 2)) ks as k"
+
+
 def expand(sql: str, **names: str) -> str:
     """The text for an engine where the given tables go by their own names."""
-    inner = {"excerpts_text": EXCERPTS_TEXT.format(**{t: t for t in GIVEN})}
-    return sql.format(**{t: t for t in GIVEN}, **inner, **names)
+    tables = {t: t for t in GIVEN} | {"three_spans": THREE_LISTED}
+    return sql.format(**tables, excerpts_text=EXCERPTS_TEXT.format(**tables), **names)
 
 
 def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -273,6 +278,7 @@ def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run an adapter text over the given tables."""
     if "{excerpts_text}" in sql:
         sql = sql.replace("{excerpts_text}", EXCERPTS_TEXT)
+    sql = sql.replace("{three_spans}", THREE_EXPLODED)
     used = {t: given(spark, sf_dir, t) for t in GIVEN if "{" + t + "}" in sql}
     df = spark.sql(sql, **used)
     return df.withColumnsRenamed({"end_": "end", "exclude_": "exclude"})
