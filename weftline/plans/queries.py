@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.text import fold, fold_valence, value_shape
 from weftline.functions.values import (
-    excerpt_id_build, kappa_band, numeric_regex, numeric_sort_key, stable_guid,
+    excerpt_id_build, kappa_band, numeric_regex, numeric_sort_key,
 )
 from weftline.operators import auditing as au
 from weftline.operators import building as bu
