@@ -71,10 +71,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def _bit_counts(fp: Column) -> Column:
     """The bit count of each 4-bit segment, in the segment's own 4 bits."""
-    odd = F.lit(0x5555555555555555)
-    pairs = fp - F.shiftrightunsigned(fp, 1).bitwiseAND(odd)
-    low = F.lit(0x3333333333333333)
-    return pairs.bitwiseAND(low) + F.shiftrightunsigned(pairs, 2).bitwiseAND(low)
+    odd, low = F.lit(0x55555555), F.lit(0x33333333)
+
+    def half(x: Column) -> Column:
+        pairs = x.bitwiseAND(odd) + F.shiftrightunsigned(x, 1).bitwiseAND(odd)
+        return pairs.bitwiseAND(low) + F.shiftrightunsigned(pairs, 2).bitwiseAND(low)
+
+    return F.shiftleft(half(F.shiftrightunsigned(fp, 32)), 32).bitwiseOR(half(fp.bitwiseAND(F.lit(0xFFFFFFFF))))
 
 
 def _grid(fps: DataFrame) -> DataFrame:

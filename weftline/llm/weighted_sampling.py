@@ -14,6 +14,7 @@ in one integer: all slots are plain minima of one hash aggregate.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,16 +25,25 @@ from weftline.llm.common import written
 SLOTS = 32
 SHINGLE = 5
 #: Levels of the quantile table, a power of two.
-LEVELS = 4096
+LEVELS = 1024
 #: Documents of 2**10 neighbouring ids meet in one task; an id is unique, so no block is larger.
 BLOCK_BITS = 10
 
 
-def gamma_quantiles() -> Column:
+def gamma_quantiles() -> list[float]:
     """Quantiles of Gamma(2, 1), whose distribution is 1 - (1 + x) exp(-x), by Newton steps."""
-    p = f"((i + 0.5D) / {LEVELS}D)"
-    step = f"x - (1D - (1D + x) * exp(-x) - {p}) / (x * exp(-x))"
-    return F.expr(f"transform(sequence(0, {LEVELS - 1}), i -> aggregate(sequence(1, 60), 1D, (x, n) -> {step}))")
+    out = []
+    for i in range(LEVELS):
+        p, x = (i + 0.5) / LEVELS, 1.0
+        for _ in range(60):
+            x -= (1 - (1 + x) * math.exp(-x) - p) / (x * math.exp(-x))
+        out.append(x)
+    return out
+
+
+def number_table(values: list[float]) -> Column:
+    """Constant numbers as an array that Spark folds once."""
+    return F.split(F.lit(",".join(f"{v:.9g}" for v in values)), ",").cast("array<double>")
 
 
 def shingle_terms(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -53,7 +63,10 @@ def shingle_terms(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 def slot_minima(terms: DataFrame, keys: list[str], slots: int = SLOTS) -> DataFrame:
     """(keys, samples): per key one 32-bit sample for each slot."""
-    table = terms.select("*", gamma_quantiles().alias("gamma")).select("*", F.transform("gamma", lambda x: F.log(x)).alias("ln_gamma"))
+    quantiles = gamma_quantiles()
+    # Tied to a column, else each of the many look-ups would hold a copy of the table in the plan.
+    tied = lambda values: F.when(F.col("ln_weight") >= 0, number_table(values))
+    table = terms.select("*", tied(quantiles).alias("gamma"), tied([math.log(q) for q in quantiles]).alias("ln_gamma"))
     low = F.lit((1 << 32) - 1)
 
     def least(k: int) -> Column:
