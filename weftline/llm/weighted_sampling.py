@@ -26,8 +26,9 @@ SLOTS = 32
 SHINGLE = 5
 #: Levels of the quantile table, a power of two.
 LEVELS = 1024
-#: Documents of 2**10 neighbouring ids meet in one task; an id is unique, so no block is larger.
-BLOCK_BITS = 10
+#: Documents of 2**8 neighbouring ids meet in one task, blocks in groups of 2**12.
+BLOCK_BITS, GROUP_BITS = 8, 12
+NO_ID = -(1 << 63)
 
 
 def gamma_quantiles() -> list[float]:
@@ -108,10 +109,10 @@ def fingerprint(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
 def block_followers(rows: DataFrame) -> DataFrame:
     """(block, follower): for each block of ids the first id behind it, after the last the first.
 
-    Blocks are ordered within groups of 1,024 of them; a group's last takes the next
+    Blocks are ordered within groups of 4,096 of them; a group's last takes the next
     group's first, and only one row for a million ids meets in one task.
     """
-    blocks = rows.groupBy("block").agg(F.min("key").alias("first")).withColumn("over", F.shiftright("block", BLOCK_BITS))
+    blocks = rows.groupBy("block").agg(F.min("key").alias("first")).withColumn("over", F.shiftright("block", GROUP_BITS))
     blocks = written(blocks, "blocks")
     over = blocks.groupBy("over").agg(F.min("first").alias("over_first"))
     lead = F.coalesce(F.lead("over_first").over(Window.orderBy("over")), F.min("over_first").over(Window.orderBy("over")))
@@ -133,8 +134,8 @@ def edited_fingerprints(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    rows = rows.select("doc_id", key.alias("key"), F.shiftright(key, BLOCK_BITS).alias("block"), "text")
+    key = F.coalesce("doc_id", F.lit(NO_ID))
+    rows = rows.select(key.alias("key"), F.shiftright(key, BLOCK_BITS).alias("block"), "text")
     follower = block_followers(rows.select("key", "block"))
     behind = rows.select("key", "text").join(follower, F.col("key") == F.col("follower")).groupBy("block").agg(
         F.min_by("text", F.xxhash64("text")).alias("behind")
@@ -143,15 +144,15 @@ def edited_fingerprints(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = Window.partitionBy("block").orderBy("key", "mix")
     dealt = rows.repartition(parts, "block").withColumn("mix", F.xxhash64("text"))
-    placed = dealt.select("block", "doc_id", "text", F.row_number().over(order).alias("n"), F.lead("text").over(order).alias("then"))
+    placed = dealt.select("block", "key", "text", F.row_number().over(order).alias("n"), F.lead("text").over(order).alias("then"))
     open_end = F.col("then").isNull()
     placed = placed.join(behind, (placed["block"] == behind["block"]) & open_end, "left").select(
-        placed["block"], "n", "doc_id", "text", F.coalesce("then", "behind").alias("then"), open_end.alias("last")
+        placed["block"], "n", "key", "text", F.coalesce("then", "behind").alias("then"), open_end.alias("last")
     )
     n_chars = F.length("text")
     half = F.floor(n_chars / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n_chars - half), F.substring("then", F.lit(1), half))
-    placed = placed.select("block", "n", "doc_id", "text", "then", "last", edited.alias("edited"))
+    placed = placed.select("block", "n", "key", "text", "then", "last", edited.alias("edited"))
 
     keys = ["block", "n", "side"]
     sides = F.explode(F.filter(F.array(
@@ -164,7 +165,9 @@ def edited_fingerprints(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     pick = lambda side: F.any_value(F.when(F.col("side") == side, F.col("samples")), F.lit(True)).alias(f"f{side}")
     prints = samples.groupBy("block", "n").agg(pick(0), pick(1), pick(2))
 
-    facts = placed.select("block", "n", "doc_id", "last", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    # Both readers of the dealt texts need the same columns of it, so it is shuffled once.
+    doc_id = F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id")
+    facts = placed.select("block", "n", doc_id, "last", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
     empty = F.array_repeat(F.lit(0).cast("long"), slots)
     joined = facts.join(prints, ["block", "n"], "left").select(*facts.columns, *(F.coalesce(f"f{i}", empty).alias(f"f{i}") for i in range(3)))
     after = F.when(F.col("last"), F.col("f2")).otherwise(F.lead("f0").over(Window.partitionBy("block").orderBy("n")))
