@@ -185,24 +185,13 @@ def fold_offsets(c: Column | str, positions: Column) -> Column:
     return _offsets_udf()(_c(c), positions)
 
 
-def closest_ratio_udf():
-    """Arrow function (quote, text) -> similarity of the best-aligned window."""
-    @F.pandas_udf("double")
-    def closest_ratio(quotes: pd.Series, texts: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
-        out, probe, indexed = [0.0] * len(quotes), SequenceMatcher(None, "", ""), None
-        for i in sorted(range(len(texts)), key=texts.iloc.__getitem__):
-            q, t = quotes.iloc[i], texts.iloc[i]
-            if t != indexed:  # a text is indexed once for all its quotes
-                probe.set_seq2(t)
-                indexed = t
-            probe.set_seq1(q)
-            at = probe.find_longest_match(0, len(q), 0, len(t)).b
-            out[i] = SequenceMatcher(None, q, t[at : at + len(q)]).ratio()
-        return pd.Series(out, dtype="float64")
-
-    return closest_ratio
+def border_grams(c: Column | str) -> Column:
+    """Distinct grams across the word borders of a folded text.
+
+    For every blank: the last one, two and three characters before it, the blank, and up
+    to three characters behind it.
+    """
+    return F.array_distinct(F.regexp_extract_all(_c(c), F.lit(r"(?=(\S{1,3} \S{1,3}))"), F.lit(1)))
 
 
 def occurrences(text: Column, needle: Column) -> Column:

@@ -43,7 +43,7 @@ def build_sources(cells: DataFrame, mapping: dict) -> DataFrame:
     numbered = source_id_build(rows.withColumn("_at", F.col("ord").cast("long") * len(text) + F.col("at")), "_at")
     return numbered.select(
         "source_id", "pid", "unit", F.lit(mapping.get("kind", "response")).alias("kind"),
-        F.left(F.regexp_replace("header", r"\A\d+[\.\)]\s*", ""), F.lit(60)).alias("label"), "text",
+        F.regexp_replace("header", r"\A\d+[\.\)]\s*", "").alias("label"), "text",
     )
 
 

@@ -21,30 +21,26 @@ quote may be cut in the middle of a document word.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import (
-    closest_ratio_udf,
+    border_grams,
     fold,
     fold_offsets,
     is_plain,
     occurrences,
 )
-from weftline.operators.ordered import checkpointed, spread
+from weftline.operators.ordered import checkpointed
 from weftline.schema import FUZZY_FLOOR, MIN_QUOTE
 
 BROADCAST_QUOTES = 200_000
 BROADCAST_CHARS = 64_000_000
-PLACES_SHOWN = 1000
-EXHAUSTIVE_WORK = 200_000_000
-COMMON_SHARE = 0.001
-COMMON_MINIMUM = 50
 
 
 def folded_sources(sources: DataFrame) -> DataFrame:
     """(source_id, norm, same): folded text, and whether every offset stayed in place."""
-    s = spread(sources.select("source_id", "text"))
+    s = sources.select("source_id", "text")
     return s.withColumn("norm", fold("text")).select(
         "source_id", "norm", ((F.length("norm") == F.length("text")) & is_plain("text")).alias("same")
     )
@@ -262,13 +258,12 @@ def hit_places(hits: DataFrame) -> DataFrame:
 
 
 def resolve_unique(
-    hits: DataFrame, quotes: DataFrame, unit_label: str = "unit", places_shown: int = PLACES_SHOWN
+    hits: DataFrame, quotes: DataFrame, unit_label: str = "unit"
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(filed, ambiguous, unmatched) sheet rows.
 
     A row with exactly one occurrence is filed.  Two occurrences are ambiguous even
-    inside one source.  The message lists the places when there are at most
-    ``places_shown`` of them; ``hit_places`` always holds the full list.
+    inside one source.  The message lists all places; ``hit_places`` has them as rows.
     """
     hits = checkpointed(hits)
     counts = hits.groupBy("sheet_row").agg(
@@ -280,8 +275,7 @@ def resolve_unique(
     places = hit_places(many)
     per_row = places.groupBy("sheet_row").agg(F.sum("n").alias("hits"), F.count(F.lit(1)).alias("places"))
     listed = (
-        places.join(per_row.where(F.col("places") <= places_shown).select("sheet_row"), "sheet_row", "left_semi")
-        .select("sheet_row", F.concat(F.lit("PID"), "pid", F.lit("/"), "unit").alias("place"))
+        places.select("sheet_row", F.concat(F.lit("PID"), "pid", F.lit("/"), "unit").alias("place"))
         .groupBy("sheet_row")
         .agg(F.array_join(F.sort_array(F.collect_set("place")), ", ").alias("where"))
     )
@@ -292,7 +286,7 @@ def resolve_unique(
         F.concat(
             F.lit("appears in "), F.col("hits").cast("string"),
             F.lit(f" documents - add a pid or {unit_label} column to disambiguate ("),
-            F.coalesce("where", F.concat(F.col("places").cast("string"), F.lit(" places, see hit_places"))),
+            F.col("where"),
             F.lit(")"),
         ).alias("reason"),
     )
@@ -303,91 +297,34 @@ def resolve_unique(
 # ---------------------------------------------------------------- closest miss
 
 
-def _exhaustive(unmatched: DataFrame, sources: DataFrame) -> DataFrame:
-    """Best source per quote over the whole corpus, partial winners per batch."""
-    quotes = [(r["sheet_row"], r["nq"]) for r in unmatched.select("sheet_row", "nq").collect()]
-    dtype = dict(unmatched.dtypes)["sheet_row"]
+def fuzzy_closest(unmatched: DataFrame, sources: DataFrame, floor: float = FUZZY_FLOOR) -> DataFrame:
+    """The source that holds most of each unmatched quote's word borders.
 
-    def best(batches):
-        from difflib import SequenceMatcher
-
-        import pandas as pd
-
-        for batch in batches:
-            top = {}
-            probe = SequenceMatcher(None, "", "")
-            for source, t in zip(batch["source_id"], batch["norm"]):
-                probe.set_seq2(t)  # indexed once per text, for all quotes
-                for row, q in quotes:
-                    probe.set_seq1(q)
-                    at = probe.find_longest_match(0, len(q), 0, len(t)).b
-                    r = SequenceMatcher(None, q, t[at : at + len(q)]).ratio()
-                    score, kept = top.get(row, (0.0, None))
-                    if r > score or (r == score and kept is not None and source < kept):
-                        top[row] = (r, source)
-            rows = [(row, source, r) for row, (r, source) in top.items()]
-            yield pd.DataFrame(rows, columns=["sheet_row", "source_id", "similarity"])
-
-    folded = folded_sources(sources).drop("same")
-    return folded.mapInPandas(best, f"sheet_row {dtype}, source_id string, similarity double")
-
-
-def _blocked(unmatched: DataFrame, sources: DataFrame) -> DataFrame:
-    """Score the sources that share one of the quote's less common words.
-
-    Document frequency decides what is common; a quote made of common words only is
-    blocked on the rarest of them.  All sources that share a blocking word are
-    scored, none is cut off.
+    The similarity is the share of the quote's distinct border grams (``border_grams``)
+    that the source holds as well, whatever the size of the corpus.  Only sources at or
+    above ``floor`` are closest: of n grams such a source holds at least ceil(floor * n),
+    so it holds one of the rarest n - ceil(floor * n) + 1; sources are met on those and
+    then counted exactly.  Equal shares go to the smaller source_id.  Below the floor, and
+    for a quote of one word, there is no source and the similarity is 0.
     """
-    folded = folded_sources(sources).drop("same")
-    words = folded.select("source_id", F.explode(F.array_distinct(F.split("norm", " "))).alias("word"))
-    wanted = unmatched.select("sheet_row", F.explode(F.array_distinct(F.split("nq", " "))).alias("word"))
-    found = words.join(wanted.select("word").distinct(), "word", "left_semi")
-    df = found.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    n = sources.agg(F.count(F.lit(1))).scalar()
-    ranked = wanted.join(df, "word")
-    rarest = ranked.groupBy("sheet_row").agg(F.min(F.struct("df", "word")).alias("_r"))
-    keys = ranked.where(F.col("df") <= F.greatest(F.lit(COMMON_MINIMUM), n * COMMON_SHARE)).select(
-        "sheet_row", "word"
-    ).unionByName(rarest.select("sheet_row", F.col("_r.word").alias("word"))).distinct()
-    pairs = checkpointed(found.join(keys, "word").select("sheet_row", "source_id").distinct())
-    asked = pairs.join(unmatched.select("sheet_row", "nq"), "sheet_row")
-    size = asked.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("nq")).alias("chars")).first()
-    if size["n"] <= BROADCAST_QUOTES and (size["chars"] or 0) <= BROADCAST_CHARS:
-        # texts stay where they are read and are scored there
-        met = folded.join(F.broadcast(asked), "source_id")
-    else:
-        met = folded.join(asked, "source_id")
-    return met.select(
-        "sheet_row", "source_id", closest_ratio_udf()("nq", "norm").alias("similarity")
-    ).where("similarity > 0")
-
-
-def fuzzy_closest(
-    unmatched: DataFrame, sources: DataFrame, floor: float = FUZZY_FLOOR, strategy: str = "auto"
-) -> DataFrame:
-    """Closest source of each unmatched quote: the candidate to show beside a reject.
-
-    ``exhaustive`` scores every source and needs the unmatched quotes to be few;
-    ``blocked`` scores sources that share an uncommon word.  ``auto`` compares the
-    number of quotes times the size of the corpus with a fixed amount of work.
-    """
-    unmatched = checkpointed(unmatched.select("sheet_row", "nq"))
-    if strategy == "auto":
-        size = unmatched.count()
-        chars = sources.agg(F.sum(F.length("text"))).first()[0] or 0
-        strategy = "exhaustive" if size * chars <= EXHAUSTIVE_WORK else "blocked"
-    scored = (_exhaustive if strategy == "exhaustive" else _blocked)(unmatched, sources)
-    best = scored.groupBy("sheet_row").agg(
-        F.max(F.struct("similarity")).alias("_m"),
-        F.min_by("source_id", F.struct(-F.col("similarity"), F.col("source_id"))).alias("closest_source"),
+    asked = unmatched.select("sheet_row", F.explode(border_grams("nq")).alias("gram"))
+    asked = checkpointed(asked)
+    sizes = asked.groupBy("sheet_row").agg(F.count(F.lit(1)).alias("n")).withColumn("need", F.ceil(F.col("n") * floor - 1e-9))
+    held = folded_sources(sources).select("source_id", F.explode(border_grams("norm")).alias("gram"))
+    held = checkpointed(held.join(asked.select("gram").distinct(), "gram", "left_semi"))
+    common = held.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    by_rarity = Window.partitionBy("sheet_row").orderBy(F.coalesce("df", F.lit(0)), "gram")
+    ranked = asked.join(common, "gram", "left").withColumn("rank", F.row_number().over(by_rarity))
+    rare = ranked.join(sizes, "sheet_row").where("rank <= n - need + 1").select("sheet_row", "gram")
+    met = rare.join(held, "gram").select("sheet_row", "source_id").distinct()
+    shared = met.join(asked, "sheet_row").join(held, ["source_id", "gram"]).groupBy("sheet_row", "source_id").agg(F.count(F.lit(1)).alias("k"))
+    best = shared.join(sizes, "sheet_row").where("k >= need").groupBy("sheet_row").agg(
+        F.min_by("source_id", F.struct(-F.col("k"), F.col("source_id"))).alias("closest_source"),
+        F.max(F.col("k") / F.col("n")).alias("share"),
     )
-    score = F.coalesce(F.col("_m.similarity"), F.lit(0.0))
     return unmatched.select("sheet_row").join(best, "sheet_row", "left").select(
         "sheet_row",
         F.coalesce("closest_source", F.lit("")).alias("closest_source"),
-        F.bround(score, 2).alias("similarity"),
-        F.when(score < floor, F.lit("no match found"))
-        .otherwise(F.lit("no exact match; closest shown - check for a typo or an edit"))
-        .alias("reason"),
+        F.bround(F.coalesce("share", F.lit(0.0)), 2).alias("similarity"),
+        F.when(F.col("share").isNull(), F.lit("unmatched")).otherwise(F.lit("close_match")).alias("reason"),
     )

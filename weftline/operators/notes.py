@@ -100,7 +100,7 @@ def notes_evidence(project: Project) -> DataFrame:
     )
     s = project.sources.select(
         F.col("source_id").alias("evidence"),
-        F.substring(strip(F.coalesce("text", F.lit(""))), 1, 400).alias("s_text"),
+        strip(F.coalesce("text", F.lit(""))).alias("s_text"),
         F.col("pid").alias("s_pid"), F.coalesce("label", F.lit("")).alias("s_label"),
     )
     in_x, in_s = F.col("x_pid").isNotNull(), F.col("s_pid").isNotNull()

@@ -73,7 +73,7 @@ def judgement_join(
     told = replies.select("batch", F.posexplode(F.from_json("reply", REPLY)["judgements"]).alias("pos", "j")).select(
         "batch", "pos", F.col("j.id").alias("id"),
         F.lower(strip("j.valence")).alias("valence"),
-        F.substring(F.coalesce("j.why", F.lit("")), 1, 200).alias("why"),
+        F.coalesce("j.why", F.lit("")).alias("why"),
     ).where(F.col("valence").isin(*VALENCES))
     return (
         batched(targets, n, order).select("batch", "id", "excerpt_id", "code_id")

@@ -242,6 +242,22 @@ RESOLVE = dict(
       (select string_agg(pl, ', ' order by pl) from (select distinct concat('PID', pid, '/', unit) pl from kept k where k.sheet_row = c.sheet_row)), ')') reason
       from counts c where n > 1""",
 )
+CLOSEST = dict(
+    lost="select sheet_row, nq from q where length(nq) >= 8 and sheet_row not in (select sheet_row from hits)",
+    lost_words="select sheet_row, string_split(nq, ' ') w from lost",
+    lost_pairs="select sheet_row, w[i] a, w[i + 1] b from (select *, unnest(range(1, len(w))) i from lost_words)",
+    lost_grams="select distinct sheet_row, concat(right(a, k), ' ', left(b, 3)) gram from (select *, unnest(range(1, least(3, length(a)) + 1)) k from lost_pairs)",
+    held_words="select source_id, string_split(n, ' ') w from s",
+    held_pairs="select source_id, w[i] a, w[i + 1] b from (select *, unnest(range(1, len(w))) i from held_words)",
+    held_grams="select distinct source_id, concat(right(a, k), ' ', left(b, 3)) gram from (select *, unnest(range(1, least(3, length(a)) + 1)) k from held_pairs)",
+    gram_shares="""select l.sheet_row, source_id, count(*)::double / any_value(t.n) share
+      from lost_grams l join held_grams h on l.gram = h.gram join (select sheet_row, count(*) n from lost_grams group by all) t on t.sheet_row = l.sheet_row
+      group by l.sheet_row, source_id having count(*) >= 0.88 * any_value(t.n) - 1e-9""",
+    closest="""select o.sheet_row, coalesce(arg_min(source_id, (-share, source_id)), '') closest_source,
+      round_even(coalesce(max(share), 0.0), 2) similarity, case when max(share) is null then 'unmatched' else 'close_match' end reason
+      from lost o left join gram_shares g on o.sheet_row = g.sheet_row group by o.sheet_row""",
+)
+plain("fuzzy_closest", "select * from closest", **MATCH, **CLOSEST)
 plain("match_quotes", 'select sheet_row, source_id, start, end_ as "end" from hits', **MATCH)
 plain("hint_narrow", 'select sheet_row, source_id, start, end_ as "end" from kept', **MATCH, **NARROW)
 plain("resolve_unique", """
@@ -321,7 +337,7 @@ left join (select path, any_value(pid) pid, any_value(evidence) evidence from be
       from recordings, people) where n >= 2""")
 text("notes_evidence", f"""
 select note_id, case when n.category = '' then 'Uncategorised' else n.category end as category, evidence,
-       coalesce(case when x.excerpt_id is not null then {strip('x.text')} end, case when s.source_id is not null then substring({strip('s.text')}, 1, 400) end, '') as quote,
+       coalesce(case when x.excerpt_id is not null then {strip('x.text')} end, case when s.source_id is not null then {strip('s.text')} end, '') as quote,
        case when x.excerpt_id is not null then concat('PID', x.pid) when s.source_id is not null then trim(concat('PID', s.pid, ' · ', s.label), ' ·')
             when evidence <> '' then 'not found' else '' end as where
 from notes n left join excerpts x on n.evidence = x.excerpt_id left join sources s on n.evidence = s.source_id
@@ -723,7 +739,7 @@ star("code_retire", "select code_id, count(*) as stranded from (select distinct
 
 plain("build_sources", f"""
 select concat('S-', pid, '-', case when n >= 10000 then cast(n as varchar) else lpad(cast(n as varchar), 4, '0') end) as source_id, pid, unit, 'survey' as kind,
- left(regexp_replace(header, '^\\d+[\\.\\)]\\s*', ''), 60) as label, md5(text) as digest from (
+ regexp_replace(header, '^\\d+[\\.\\)]\\s*', '') as label, md5(text) as digest from (
  select *, row_number() over (order by doc_id, slot) - 1 n from (
   select doc_id, 0 slot, '1. What did you think?' header, trim(source) pid, trim(lang) unit, {strip('text')} text from documents
   union all select doc_id, 1, 'Participant', trim(source), trim(lang), trim(source) from documents) where pid <> '' and text <> '')
@@ -779,12 +795,14 @@ def filing(name, body, unit):
     parts |= {k: FILING[k] for k in ("sources", "s", "pairs", "slots", "spots", "offs", "first_at", "hits")}
     parts |= NARROW
     parts |= {k: v.replace("{unit}", unit) for k, v in RESOLVE.items()}
+    parts |= CLOSEST
     plain(name, body, **parts)
 
 
 filing("unresolved_report", f"""
-select sheet_row, substring({strip('quote')}, 1, 60) as quote, problem as reason from outcome where problem is not null
-union all select r.sheet_row, substring({strip('o.quote')}, 1, 60), reason from reasons r join outcome o on r.sheet_row = o.sheet_row
+select sheet_row, {strip('quote')} as quote, problem as reason, '' as closest_source, null::double as similarity from outcome where problem is not null
+union all select r.sheet_row, {strip('o.quote')}, reason, '', null from reasons r join outcome o on r.sheet_row = o.sheet_row
+union all select c.sheet_row, {strip('o.quote')}, c.reason, closest_source, similarity from closest c join outcome o on c.sheet_row = o.sheet_row
 """, "language")
 filing("file_sheet", f"""
 select concat('X-', k.source_id, '-', k.start, '-', k.end_) as excerpt_id, m.code_id, o.val as valence, 'rk' as coder, o.note, o.sheet_row

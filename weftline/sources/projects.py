@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,15 +16,23 @@ from weftline.schema import TABLES
 
 def _read(spark: SparkSession, stem: str) -> DataFrame | None:
     """``<stem>.parquet`` if it is there, else ``<stem>.csv``, else nothing."""
-    try:
-        return spark.read.parquet(f"{stem}.parquet")
-    except AnalysisException:
-        pass
-    try:
-        return spark.read.csv(
-            f"{stem}.csv", header=True, multiLine=True, escape='"', encoding="UTF-8", nullValue="\x00"
+    if (found := _there(lambda: spark.read.parquet(f"{stem}.parquet"))) is not None:
+        return found
+    return _there(
+        lambda: spark.read.csv(
+            f"{stem}.csv", header=True, multiLine=True, escape='"', encoding="UTF-8", nullValue="\x00",
+            ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
         )
-    except AnalysisException:
+    )
+
+
+def _there(read) -> DataFrame | None:
+    """What ``read`` gives, or nothing if the path is not there; other failures are raised."""
+    try:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
@@ -75,10 +85,13 @@ def sink_tables(
     if partition_by:
         shaped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).format(fmt).save(path)
         return
-    staging = f"{path}.staging"
+    staging = f"{path}.staging-{uuid.uuid4().hex}"
     writer = shaped.write.mode("overwrite").format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True).option("escape", '"').option("emptyValue", "").option("nullValue", "")
+        writer = (
+            writer.option("header", True).option("escape", '"').option("emptyValue", "").option("nullValue", "")
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+        )
     writer.save(staging)
     _swap(df.sparkSession, staging, path)
 

@@ -27,6 +27,10 @@ def _plain_path(path: Column) -> Column:
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
+#: A project's table of sources below its folder: one file, or a folder of part files.
+PROJECT_TABLE = r"\A(.+/)sources\.(?:csv|parquet)(?:/[^/]+)?\z"
+
+
 def _pruned(files: DataFrame, spark: SparkSession, root: str, skip) -> DataFrame:
     """Leave out hidden folders, named folders and folders that are projects already."""
     listed = files.withColumn("file", _relative(F.col("path"), root))
@@ -34,9 +38,8 @@ def _pruned(files: DataFrame, spark: SparkSession, root: str, skip) -> DataFrame
     out = ["__pycache__", *skip]
     kept = listed.where(~F.exists(folders, lambda d: F.startswith(d, F.lit(".")) | d.isin(*out)))
     projects = (
-        _files(spark, root, "sources.csv").select(_relative(F.col("path"), root).alias("file"))
-        .where(F.contains("file", F.lit("/")))
-        .select(F.regexp_replace("file", r"sources\.csv\z", "").alias("prefix"))
+        _files(spark, root, "*").select(_relative(F.col("path"), root).alias("file"))
+        .select(F.regexp_extract("file", PROJECT_TABLE, 1).alias("prefix")).where("prefix <> ''").distinct()
     )
     prefixes = F.transform(
         F.sequence(F.lit(1), F.size(folders)),
