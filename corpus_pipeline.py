@@ -6,13 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import decontaminate, language, packing, secrets, simhash
-from weftline.llm.common import documents, held_out, scratch
+from weftline.llm.common import documents, held_out, scratch, set_aside
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: those the model rejects go (no text, no letter, no certainty)."""
     model = language.fit(docs.where(~held_out()))
-    return language.identify(docs, model).where("not rejected").select(docs.columns)
+    rows, restored = set_aside(docs, ("lang_pred", "score", "rejected"))
+    return restored(language.identify(rows, model).where("not rejected"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -306,6 +306,15 @@ def test_passages_are_cut_out(spark, monkeypatch):
     assert decontaminate.find_passages(frame(spark, rows), items.limit(0)).where("size(hits) > 0").count() == 0
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    rows = [(i, f"the same old words come again and again {i}", "en", 0.5, i, ["x"], "y") for i in range(8)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, n_words long, hits array<string>, rejected string")
+    items = spark.createDataFrame([(1, "none of these")], "item_id long, text string")
+    for got in (decontaminate.remove_passages(table, items), corpus_pipeline.language_id(spark, table, SF), secrets.redact_secrets(table), simhash.drop_near_duplicates(table)):
+        assert got.columns == table.columns
+        assert {(r["score"], tuple(r["hits"]), r["rejected"]) for r in got.collect()} <= {(0.5, ("x",), "y")}
+
+
 def simhash_of(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []

@@ -43,6 +43,12 @@ def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterat
     return df.mapInArrow(work, schema)
 
 
+def set_aside(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with columns of these names renamed, and what gives a result its columns back."""
+    other = {c: f"_own_{c}" if c in names else c for c in df.columns}
+    return df.withColumnsRenamed(other), lambda out: out.select(*(F.col(n).alias(c) for c, n in other.items()))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

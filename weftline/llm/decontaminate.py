@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import map_batches, written
+from weftline.llm.common import map_batches, set_aside, written
 
 WINDOW = 10
 #: Words of items in one automaton, so that its size is bounded; more items make more
@@ -155,13 +155,14 @@ class Automaton:
         return spans, items
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cut_above: float | None = None) -> DataFrame:
     """``docs`` (with a column ``text``) and what they share with ``benchmark`` (item_id, text).
 
     Adds n_words, hits (runs of hit words as first and last position, joined and in order)
     and items (item_ids with an occurring window, sorted as text).  A null or empty text
     has no words; a null or empty item has no window; an item without an id hits words but
     is not listed; repeated items count once.  Without items no document is hit.
+    With ``cut_above`` the hit words are cut out, see ``remove_passages``.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where(F.col("text").isNotNull())
@@ -172,14 +173,15 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     found = docs.select(*names, F.lit(None).cast("long").alias("n_words"), F.array().cast("array<struct<first:long,last:long>>").alias("hits"), F.array().cast("array<string>").alias("items"))
     for block in range(blocks):
         held = [(r["item_id"], words_of(r["text"])) for r in dealt.where(F.col("_block") == block).collect()]
-        found = _scanned(written(found, "passages") if block else found, pickle.dumps(Automaton(held, window)))
+        last = cut_above if block == blocks - 1 else None
+        found = _scanned(written(found, "passages") if block else found, pickle.dumps(Automaton(held, window)), last)
     return found
 
 
 _BUILT: dict[int, Automaton] = {}
 
 
-def _scanned(found: DataFrame, automaton: bytes) -> DataFrame:
+def _scanned(found: DataFrame, automaton: bytes, cut_above: float | None) -> DataFrame:
     shared = found.sparkSession.sparkContext.broadcast(automaton)
     text, hits, items = (found.columns.index(c) for c in ("text", "hits", "items"))
     count = found.columns.index("n_words")
@@ -202,7 +204,13 @@ def _scanned(found: DataFrame, automaton: bytes) -> DataFrame:
             columns[count] = pa.array(n, pa.int64())
             columns[hits] = pa.array(runs, columns[hits].type)
             columns[items] = pa.array(names, pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+            out = pa.RecordBatch.from_arrays(columns, batch.schema.names)
+            if cut_above is not None:
+                texts = columns[text].to_pylist()
+                columns[text] = pa.array([without(t, h) if h else t for t, h in zip(texts, runs)], pa.string())
+                clean = [sum(s["last"] - s["first"] + 1 for s in h) <= cut_above * k for h, k in zip(runs, n)]
+                out = pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(clean, pa.bool_()))
+            yield out
 
     return map_batches(found, scan, found.schema)
 
@@ -223,20 +231,8 @@ def remove_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     A document of which more than ``longest_share`` of the words are hit is dropped.
     A cut reaches from the first hit word's first byte to the last one's end.
     """
-    names = docs.columns
-    found = find_passages(docs, benchmark, window)
-    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda s, h: s + h["last"] - h["first"] + 1)
-    kept = found.where(F.coalesce(n_hit <= longest_share * F.col("n_words"), F.lit(True)))
-    text = kept.columns.index("text")
-    hits = kept.columns.index("hits")
-
-    def cut(batches):
-        for batch in batches:
-            columns = list(batch.columns)
-            columns[text] = pa.array([without(t, h) if h else t for t, h in zip(columns[text].to_pylist(), columns[hits].to_pylist())], pa.string())
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
-
-    return map_batches(kept, cut, kept.schema).select(*names)
+    rows, restored = set_aside(docs, ("n_words", "hits", "items"))
+    return restored(find_passages(rows, benchmark, window, longest_share))
 
 
 def without(text: str, hits: list[dict]) -> str:

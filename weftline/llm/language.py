@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import labelled_sample, map_batches
-from weftline.llm.subwords import Shape, bags, softmax, text_logits, train
+from weftline.llm.subwords import Shape, bags, portions, softmax, text_logits, train
 
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -37,7 +37,8 @@ class Model:
     threshold: float
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        logits, count = text_logits(texts, self.table, SHAPE)
+        parts = [text_logits(part, self.table, SHAPE) for part in portions(texts)]
+        logits, count = (np.concatenate(x) for x in zip(*parts))
         p = softmax(logits * self.temperature)
         best = p.argmax(axis=1)
         names = [self.languages[b] if t and LETTER.search(t) else UNKNOWN for t, b in zip(texts, best)]

@@ -33,6 +33,19 @@ class Shape:
     dim: int = 16
 
 
+def portions(texts: list[str | None], chars: int = 1 << 19) -> list[list[str | None]]:
+    """``texts`` in runs of bounded size, for the arrays made of them; a long text is one by itself."""
+    out, size = [[]], 0
+    for t in texts:
+        n = len(t or "")
+        if out[-1] and size + n > chars:
+            out.append([])
+            size = 0
+        out[-1].append(t)
+        size += n
+    return out
+
+
 def joined(texts: list[str | None], shape: Shape) -> tuple[np.ndarray, np.ndarray]:
     """The words of all texts in one array of bytes, blanks between, and where each text begins."""
     table = alphabet(shape.digits)

@@ -37,9 +37,13 @@ def byte_characters() -> dict[int, str]:
 
 
 class Encoder:
-    """Ids of whole texts as little-endian arrays; ``chunks`` bounds the kept table."""
+    """Ids of whole texts as little-endian arrays.
 
-    def __init__(self, source: str, chunks: int = 400_000):
+    ``chunks`` bounds the kept table: when it is full it becomes the older one, from which
+    chunks that occur again are taken over, and the one before that goes.
+    """
+
+    def __init__(self, source: str, chunks: int = 80_000):
         self.tokenizer = Tokenizer.from_str(source)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
@@ -58,6 +62,7 @@ class Encoder:
         self.dtype = np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
         self.chunks = chunks
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.shown = byte_characters()
 
@@ -65,7 +70,7 @@ class Encoder:
         if (kept := self.pieces.get(piece)) is None:
             shown = piece.encode().decode("latin-1").translate(self.shown)
             kept = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], self.dtype).tobytes()
-            if len(self.pieces) >= self.chunks:
+            if len(self.pieces) >= self.chunks // 2:
                 self.pieces.clear()
             self.pieces[piece] = kept
         return kept
@@ -86,10 +91,12 @@ class Encoder:
         if new := set(chunks).difference(known):
             pattern = WORD_PIECES if self.kind == "word" else BYTE_PIECES
             if len(known) + len(new) > self.chunks:
-                known.clear()
-                new = set(chunks)
+                self.known, self.older = {}, known
+                known, new = self.known, set(chunks)
+            older = self.older
             for chunk in new:
-                known[chunk] = b"".join(map(self._piece, pattern.findall(chunk)))
+                kept = older.get(chunk)
+                known[chunk] = b"".join(map(self._piece, pattern.findall(chunk))) if kept is None else kept
         return np.frombuffer(b"".join(map(known.__getitem__, chunks)), self.dtype)
 
     def byte_lengths(self) -> np.ndarray:

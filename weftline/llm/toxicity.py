@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import labelled_sample, map_batches
-from weftline.llm.subwords import Shape, bags, joined, logistic_fit, train, word_scores
+from weftline.llm.subwords import Shape, bags, joined, logistic_fit, portions, train, word_scores
 
 SHAPE = Shape(sizes=(3, 4, 5), buckets=1 << 17, digits=True)
 #: Bounds of the sample: rows of a label, characters of a text; words learned from.
@@ -36,7 +36,8 @@ class Model:
     weights: np.ndarray  # of the document's features, bias last
 
     def predict(self, texts: list[str | None]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(np.column_stack([features(texts, self.scores), np.ones(len(texts))]) @ self.weights, -30, 30)))
+        seen = np.concatenate([features(part, self.scores) for part in portions(texts)])
+        return 1 / (1 + np.exp(-np.clip(np.column_stack([seen, np.ones(len(texts))]) @ self.weights, -30, 30)))
 
 
 def features(texts: list[str | None], scores: np.ndarray) -> np.ndarray:
