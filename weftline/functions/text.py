@@ -194,24 +194,51 @@ def border_grams(c: Column | str) -> Column:
     return F.array_distinct(F.regexp_extract_all(_c(c), F.lit(r"(?=(\S{1,3} \S{1,3}))"), F.lit(1)))
 
 
+#: Pieces whose running length is taken in one array.
+PIECES = 256
+
+
 def occurrences(text: Column, needle: Column) -> Column:
     """Zero-based positions of every occurrence, overlapping ones included.
 
     The text is cut in front of each occurrence by a zero-width look-ahead, and the
-    running length of the pieces gives the positions.
+    running length of the pieces gives the positions.  It is taken in chunks of
+    ``PIECES`` pieces, since appending to one array would copy it for every hit.
     """
     literal = F.concat(
         F.lit(r"(?=\Q"), F.replace(needle, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)")
     )
-    pieces = F.split(text, literal)
-    ends = F.aggregate(
-        pieces,
-        F.array(F.lit(0)),
-        lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))),
+    lengths = F.transform(F.split(text, literal), lambda p: F.length(p))
+    chunks = _bound(
+        lengths,
+        lambda all_: F.transform(
+            F.sequence(F.lit(1), F.size(all_), F.lit(PIECES)), lambda at: _running(F.slice(all_, at, PIECES))
+        ),
     )
-    return F.filter(
-        F.slice(ends, 1, F.size(pieces)),
-        lambda p, i: (i > 0) | F.startswith(text, needle),
+    starts = _bound(
+        chunks,
+        lambda parts: F.flatten(
+            F.zip_with(
+                parts,
+                F.slice(_running(F.transform(parts, lambda c: F.element_at(c, -1))), 1, F.size(parts)),
+                lambda c, lift: F.transform(F.slice(c, 1, F.size(c) - 1), lambda p: p + lift),
+            )
+        ),
+    )
+    return F.filter(starts, lambda p, i: (i > 0) | F.startswith(text, needle))
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running(numbers: Column) -> Column:
+    """0 and the running sums of an array."""
+    return F.aggregate(
+        numbers,
+        F.array(F.lit(0)),
+        lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)),
     )
 
 
