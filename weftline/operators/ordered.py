@@ -12,32 +12,29 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 GROUP_LIMIT = 1_000_000
-SPLIT_BYTES = 128 * 1024 * 1024
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the cluster's checkpoint folder (own folder only if unset)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder; an own one only on a single machine where none is named."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
+        sc.setCheckpointDir(folder)
+    return folder
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input too small to come in that many pieces.
 
-    The planner's size estimate decides, nothing is run.  An input of at least one full
-    read split per core is left as it is, without a shuffle.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage in the cluster's checkpoint folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
 
 
 def largest_group(df: DataFrame, within: list[str]) -> int:

@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators.ordered import spread
 from weftline.project import Project
 
 GIVEN = ("customer", "supplier", "part", "orders", "lineitem", "documents", "benchmark", "labels", "conversations")
@@ -270,8 +269,8 @@ def expand(sql: str, **names: str) -> str:
 
 
 def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; one that comes in few row groups is spread over the cores."""
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    """A given table, in the splits that the reader makes."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

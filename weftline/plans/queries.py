@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -25,7 +24,7 @@ from weftline.operators import sampling as sa
 from weftline.operators import statistics as st
 from weftline.operators import transcripts as tr
 from weftline.operators import valence as va
-from weftline.operators.ordered import row_numbers
+from weftline.operators.ordered import row_numbers, shared_folder
 from weftline.plans import adapters as ad
 from weftline.plans.adapters import derive, given, raw_cells, star_project, text_project
 from weftline.sources import scan_project, scan_sheets, scan_tables_dir, scan_transcripts, sink_tables
@@ -57,9 +56,7 @@ def joined(c: str):
 
 def scratch(spark: SparkSession) -> str:
     """A new folder beside the checkpoints, which every executor can reach."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    base = shared or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/weftline-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/weftline-{uuid.uuid4().hex}"
 
 
 # ---------------------------------------------------------------- scans and sinks
