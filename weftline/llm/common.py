@@ -15,10 +15,12 @@ BATCH_ROWS = 256
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (an own one only where none is named)."""
+    """The folder that driver and executors share; an own one only on a single machine."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
