@@ -194,6 +194,19 @@ def test_secrets_learned_and_redacted(spark):
     assert secrets.find_secrets(frame(spark, [])).count() == 0
 
 
+def test_bare_secrets_among_other_runs_are_found(spark):
+    rng = np.random.default_rng(4)
+    drawn = lambda signs, n: "".join(rng.choice(list(signs), n))
+    words = lambda: " ".join(rng.choice("the house of a river was and there people many about time work stone light".split(), 5))
+    full = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    rows = [(i, f"{words()} token = {drawn('0123456789abcdef', 40)} {words()} {drawn('0123456789', 16)} {words()}") for i in range(300)]
+    keys = [("ghp_", "", "")[i % 3] + drawn((full, full + "+/", full)[i % 3], 39) + "7" for i in range(24)]
+    rows += [(1000 + i, f"{words()} {key} {words()}") for i, key in enumerate(keys)]
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(frame(spark, rows)).collect()}
+    assert np.mean([key not in clean[1000 + i] and "[learned]" in clean[1000 + i] for i, key in enumerate(keys)]) > 0.9
+    assert np.mean(["[learned]" not in clean[i] for i in range(300)]) > 0.99
+
+
 def test_language(spark):
     got = QUERIES["op4_language"](spark, SF).toPandas().merge(truth(spark)[["doc_id", "lang"]], on="doc_id")
     held = got[got["held_out"]]
