@@ -414,6 +414,16 @@ def test_collisions_follow_weighted_jaccard(spark):
     assert abs(share - want) < 4 * (want * (1 - want) / slots) ** 0.5
 
 
+def test_heavy_terms_of_a_long_text_win_their_share(spark):
+    from pyspark.sql import functions as F
+
+    heavy, light, slots = 4000, 200_000, 32
+    ln_weight = F.when(F.col("id") < heavy, F.log(F.lit(50.0))).otherwise(F.lit(0.0))
+    terms = spark.range(heavy + light).select(F.lit(1).alias("doc"), "id", F.xxhash64("id").alias("term"), ln_weight.alias("ln_weight"))
+    some, whole = (weighted_sampling.slot_minima(t, ["doc"], slots).first()["samples"] for t in (terms.where(F.col("id") < heavy), terms))
+    assert abs(np.mean([a == b for a, b in zip(some, whole)]) - 0.5) < 4 * (0.25 / slots) ** 0.5
+
+
 def test_edited_fingerprints_of_odd_rows(spark):
     got = weighted_sampling.edited_fingerprints(frame(spark, ODD)).collect()
     assert len(got) == len(ODD)

@@ -7,9 +7,10 @@ ln a = ln c - r (t - b + 1).  The slot keeps (shingle, t) of the smallest a.  Tw
 documents agree in a slot with the probability sum of min(w) / sum of max(w) over all
 shingles: their generalised Jaccard similarity.
 
-Gamma draws come from a table of quantiles, so that the work of a slot is one hash, two
-look-ups and a division inside generated code, and the smallest a and its sample travel
-in one integer: all slots are plain minima of one hash aggregate.
+A Gamma(2, 1) draw is minus the logarithm of a product of two uniform numbers, each of 53
+bits of a hash of its own: the minimum over a long text lies in the tails of the draws,
+so these are exact.  The smallest a and its sample travel in one integer: all slots are
+plain minima of one hash aggregate.
 """
 
 from __future__ import annotations
@@ -24,27 +25,15 @@ from weftline.llm.common import written
 
 SLOTS = 32
 SHINGLE = 5
-#: Levels of the quantile table, a power of two.
-LEVELS = 1024
 #: Documents of 2**8 neighbouring ids meet in one task, blocks in groups of 2**12.
 BLOCK_BITS, GROUP_BITS = 8, 12
 NO_ID = -(1 << 63)
 
 
-def gamma_quantiles() -> list[float]:
-    """Quantiles of Gamma(2, 1), whose distribution is 1 - (1 + x) exp(-x), by Newton steps."""
-    out = []
-    for i in range(LEVELS):
-        p, x = (i + 0.5) / LEVELS, 1.0
-        for _ in range(60):
-            x -= (1 - (1 + x) * math.exp(-x) - p) / (x * math.exp(-x))
-        out.append(x)
-    return out
-
-
-def number_table(values: list[float]) -> Column:
-    """Constant numbers as an array that Spark folds once."""
-    return F.split(F.lit(",".join(f"{v:.9g}" for v in values)), ",").cast("array<double>")
+def uniform(k: int, draw: int) -> Column:
+    """A number above 0 and up to 1, from 53 bits of a hash of the term."""
+    bits = F.shiftrightunsigned(F.xxhash64("term", F.lit(5 * k + draw)), 11)
+    return (bits.cast("double") + 0.5) / float(1 << 53)
 
 
 def shingle_terms(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -64,24 +53,19 @@ def shingle_terms(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 def slot_minima(terms: DataFrame, keys: list[str], slots: int = SLOTS) -> DataFrame:
     """(keys, samples): per key one 32-bit sample for each slot."""
-    quantiles = gamma_quantiles()
-    # Tied to a column, else each of the many look-ups would hold a copy of the table in the plan.
-    tied = lambda values: F.when(F.col("ln_weight") >= 0, number_table(values))
-    table = terms.select("*", tied(quantiles).alias("gamma"), tied([math.log(q) for q in quantiles]).alias("ln_gamma"))
     low = F.lit((1 << 32) - 1)
 
     def least(k: int) -> Column:
-        x = F.xxhash64("term", F.lit(k))
-        r = F.get("gamma", x.bitwiseAND(LEVELS - 1).cast("int"))
-        ln_c = F.get("ln_gamma", F.shiftrightunsigned(x, 12).bitwiseAND(LEVELS - 1).cast("int"))
-        b = F.shiftrightunsigned(x, 24).bitwiseAND((1 << 20) - 1).cast("double") / float(1 << 20)
+        r = -F.log(uniform(k, 0) * uniform(k, 1))
+        ln_c = F.log(-F.log(uniform(k, 2) * uniform(k, 3)))
+        b = uniform(k, 4)
         t = F.floor(F.col("ln_weight") / r + b)
         ln_a = ln_c - r * (t - b + 1)
         rank = F.floor((ln_a + 128.0) * float(1 << 22))
         sample = F.col("term").bitwiseXOR(F.shiftrightunsigned("term", 32)).bitwiseXOR(t * F.lit(0x9E3779B1)).bitwiseAND(low)
         return F.min(F.shiftleft(rank, 32).bitwiseOR(sample))
 
-    found = table.groupBy(*keys).agg(*(least(k).alias(f"s{k}") for k in range(slots)))
+    found = terms.groupBy(*keys).agg(*(least(k).alias(f"s{k}") for k in range(slots)))
     return found.select(*keys, F.array(*(F.col(f"s{k}").bitwiseAND(low) for k in range(slots))).alias("samples"))
 
 
