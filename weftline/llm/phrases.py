@@ -18,6 +18,7 @@ goes to the tasks as a bit table, whose size follows the number of hashes up to
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -37,41 +38,45 @@ TOP = 2000
 CHUNK = 32
 #: Largest bit table of hashes that reach the least count: 2^28 bits, 32 MiB.
 FILTER_BITS = 28
-#: Words known to a task at a time, and tokens counted together.
-VOCABULARY, TOKENS = 1 << 19, 1 << 20
+#: Tokens counted together.
+TOKENS = 1 << 21
 #: Shares that a language's phrases are ranked in before the last ranking.
 SHARES = 16
 
-BREAK = b"\n"
+#: The mark between pieces: a character that ends pieces, so no word has it.
+BREAK = b"."
 _MARKS = b".,;:!?\n\x0b\x0c\r"
-_SIGNS = bytes.maketrans(_MARKS + b"\t" + bytes(range(65, 91)), BREAK * len(_MARKS) + b" " + bytes(range(97, 123)))
+_SIGNS = bytes.maketrans(_MARKS + bytes(range(65, 91)), BREAK * len(_MARKS) + bytes(range(97, 123)))
+_BREAKS = re.compile(rb"[ \t]*\.[. \t]*")
 
 
-class Words(dict):
-    """Numbers of words, given as they are first seen, with each word's hash."""
+def tokens(text: bytes) -> bytes:
+    """Words, A-Z lowered, and one mark after each piece that holds words, each followed by one blank."""
+    found = _BREAKS.sub(b" . ", text.translate(_SIGNS) + BREAK)
+    if b"  " in found or b"\t" in found:
+        found = b" ".join(found.split()) + b" "
+    return found.lstrip(b" .") if found[:1] in (b" ", BREAK) else found
 
-    def __init__(self):
-        super().__init__({BREAK: 0})
-        self.words, self.hashes = [BREAK], [xxhash.xxh3_64_intdigest(BREAK)]
 
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self.words)
-        self.words.append(word)
-        self.hashes.append(xxhash.xxh3_64_intdigest(word))
-        return number
+class Numbered:
+    """The tokens of a row of bytes, each followed by one blank, and numbers of the distinct ones."""
 
-    def numbers(self, tokens: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+    def __init__(self, row: bytes):
+        self.row = row
+        self.ends = np.flatnonzero(np.frombuffer(row, np.uint8) == 32) + 1
+        self.begins = np.append(0, self.ends).astype(np.int64)
+        buffers = [None, pa.py_buffer(self.begins), pa.py_buffer(row)]
+        coded = pa.Array.from_buffers(pa.large_binary(), len(self.ends), buffers).dictionary_encode()
+        self.numbers = coded.indices.to_numpy().astype(np.int64)
+        self.words = coded.dictionary.to_pylist()  # each with its blank
 
+    def hashes(self) -> np.ndarray:
+        own = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words], np.uint64)
+        return own[self.numbers] if len(own) else np.zeros(0, np.uint64)
 
-def tokens(text: bytes) -> list[bytes]:
-    """Words, A-Z lowered, with one mark between pieces that hold words."""
-    out: list[bytes] = []
-    for piece in text.translate(_SIGNS).split(BREAK):
-        if own := piece.split():
-            out += own
-            out.append(BREAK)
-    return out
+    def is_word(self) -> np.ndarray:
+        mark = np.array([w != BREAK + b" " for w in self.words], bool)
+        return mark[self.numbers] if len(mark) else np.zeros(0, bool)
 
 
 def run_hashes(hashes: np.ndarray, longest: int) -> list[np.ndarray]:
@@ -83,23 +88,24 @@ def run_hashes(hashes: np.ndarray, longest: int) -> list[np.ndarray]:
     return out
 
 
-def chunks(words: Words, text: bytes, longest: int = LONGEST, size: int = CHUNK) -> list[bytes]:
-    """The chunks of a text, tokens joined by blanks.  The last one ends with marks alone."""
-    found = tokens(text)
-    if not found:
-        return []
+def chunks(texts: list[bytes], longest: int = LONGEST, size: int = CHUNK) -> list[list[bytes]]:
+    """The chunks of each text: tokens, each followed by one blank.  The last one of a text ends with marks alone."""
     overlap = longest - 1
-    found += [BREAK] * (overlap - 1)
-    hashes = np.fromiter(map(words.hashes.__getitem__, map(words.__getitem__, found)), np.uint64, len(found))
-    at = run_hashes(hashes, overlap)[-1]
-    ends = (np.flatnonzero((at >> np.uint64(7)) % np.uint64(size) == 0) + overlap).tolist()
-    if not ends or ends[-1] != len(found):
-        ends.append(len(found))
-    begin, out = 0, []
-    for end in ends:
-        if end - begin > overlap:
-            out.append(b" ".join(found[begin:end]))
-            begin = end - overlap
+    rows = [found + (BREAK + b" ") * (overlap - 1) if (found := tokens(text)) else b"" for text in texts]
+    found = Numbered(b"".join(rows))
+    last = np.searchsorted(found.ends, np.cumsum([len(r) for r in rows]), side="right")  # tokens up to each text's end
+    first = np.append(0, last[:-1])
+    at = run_hashes(found.hashes(), overlap)[-1]
+    ends = np.flatnonzero((at >> np.uint64(7)) % np.uint64(size) == 0) + overlap
+    ends = np.union1d(ends, last[last > first])
+    of = np.searchsorted(last, ends, side="left")
+    kept = (ends - first[of] > overlap) if len(ends) else np.zeros(0, bool)
+    out: list[list[bytes]] = [[] for _ in texts]
+    begin, before, byte = 0, -1, found.begins
+    for doc, end in zip(of[kept].tolist(), ends[kept].tolist()):
+        start = begin if doc == before else first[doc]
+        out[doc].append(found.row[byte[start] : byte[end]])
+        begin, before = end - overlap, doc
     return out
 
 
@@ -107,7 +113,7 @@ def parse(docs: DataFrame, longest: int = LONGEST, size: int = CHUNK) -> DataFra
     """The dictionary (lang, chunk, n) of ``docs`` (lang, text): distinct chunks and how often each occurs."""
 
     def work(batches):
-        words, found, held = Words(), defaultdict(int), 0
+        found, held = defaultdict(int), 0
 
         def flushed():
             keys = list(found)
@@ -118,14 +124,25 @@ def parse(docs: DataFrame, longest: int = LONGEST, size: int = CHUNK) -> DataFra
             found.clear()
             return batch
 
-        for batch in batches:
+        def parted(batch):
+            """Some texts at a time: many short ones or one long one."""
+            some, room = [], 0
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for chunk in chunks(words, text.as_py(), longest, size):
-                    found[lang, chunk] += 1
-                    held += len(chunk)
-                if len(words) > VOCABULARY:
-                    words = Words()
-                if len(found) > 40_000 or held > 1 << 24:
+                some.append((lang, text.as_py()))
+                room += len(some[-1][1])
+                if room >= 8 * TOKENS // 2:
+                    yield some
+                    some, room = [], 0
+            if some:
+                yield some
+
+        for batch in batches:
+            for some in parted(batch):
+                for (lang, _), own in zip(some, chunks([text for _, text in some], longest, size)):
+                    for chunk in own:
+                        found[lang, chunk] += 1
+                        held += len(chunk)
+                if len(found) > 100_000 or held > 1 << 25:
                     yield flushed()
                     held = 0
         if found:
@@ -161,34 +178,50 @@ def bit_table(hashes: DataFrame, largest: int = FILTER_BITS) -> tuple[int, bytes
 class Block:
     """Tokens of many chunks of one language, with the weight and reach of each place."""
 
-    def __init__(self, words: Words, lang: str, rows: list[tuple[list[bytes], int]], longest: int):
-        self.words, self.lang, self.longest = words, lang, longest
-        flat = [t for found, _ in rows for t in found]
-        sizes = np.array([len(found) for found, _ in rows])
-        self.numbers = words.numbers(flat)
+    def __init__(self, lang: str, rows: list[tuple[bytes, int]], longest: int):
+        self.lang = lang
+        sizes = np.array([chunk.count(b" ") for chunk, _ in rows])
+        found = Numbered(b"".join([chunk for chunk, _ in rows]))
+        self.numbers, self.words = found.numbers, found.words
         self.weight = np.repeat(np.array([n for _, n in rows], np.int64), sizes)
-        ends = np.repeat(np.cumsum(sizes), sizes)
-        at = np.arange(len(flat))
-        marks = np.append(np.flatnonzero(self.numbers == 0), len(flat))
-        reach = marks[np.searchsorted(marks, at)] - at
-        #: Words from here to the next mark, none where the place belongs to the next chunk.
-        self.reach = np.where(at < ends - (longest - 1), reach, 0)
+        word = found.is_word()
+        #: By length: where so many words stand together from a place on that belongs to its chunk.
+        self.starts = [word.copy()]
+        for back in range(1, longest):
+            self.starts[0][np.cumsum(sizes) - back] = False
+        for k in range(1, longest):
+            self.starts.append(self.starts[-1][: max(0, len(word) - k)] & word[k:])
         seed = np.uint64(xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass")))
-        self.hashes = run_hashes(np.array(words.hashes, np.uint64)[self.numbers] + seed, longest)
+        self.hashes = run_hashes(found.hashes() + seed, longest)
 
     def places(self, k: int, tables: dict[int, BitTable]) -> np.ndarray:
         """Where an n-gram of ``k`` words starts that the tables let through."""
-        at = np.flatnonzero(self.reach >= k)
+        at = np.flatnonzero(self.starts[k - 1])
         for j in range(2, k + 1):
             if j in tables:
                 for step in range(k - j + 1):
                     at = at[tables[j].has(self.hashes[j - 1][at + step])]
         return at
 
+    def _grouped(self, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index of one of each distinct key, weight of all of them)."""
+        if not len(keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        order = np.argsort(keys)
+        ordered = keys[order]
+        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        return order[first], np.add.reduceat(self.weight[at[order]], first)
+
     def hashed(self, k: int, tables: dict[int, BitTable]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and their weights; those of chunks that occur once are counted without a second column."""
         at = self.places(k, tables)
-        values, own = np.unique(self.hashes[k - 1][at], return_inverse=True)
-        return values.view(np.int64), self._sums(own, at, len(values))
+        once = self.weight[at] == 1
+        keys = np.sort(self.hashes[k - 1][at[once]])
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        at = at[~once]
+        more = self.hashes[k - 1][at]
+        one, sums = self._grouped(more, at)
+        return np.append(keys[first], more[one]).view(np.int64), np.append(np.diff(np.append(first, len(keys))), sums)
 
     def exact(self, k: int, tables: dict[int, BitTable]) -> tuple[list[bytes], np.ndarray]:
         at = self.places(k, tables)
@@ -196,37 +229,29 @@ class Block:
         for j in range(1, k):  # pairs of (n-gram so far, next word); the first are numbered anew, so that pairs fit
             own = own if j == 1 else np.unique(own, return_inverse=True)[1]
             own = own * base + self.numbers[at + j]
-        values, first, own = np.unique(own, return_index=True, return_inverse=True)
-        of, numbers = self.words.words, [self.numbers[at[first] + j].tolist() for j in range(k)]
-        return [b" ".join([of[x] for x in run]) for run in zip(*numbers)], self._sums(own, at, len(values))
-
-    def _sums(self, own, at, n) -> np.ndarray:
-        out = np.zeros(n, np.int64)
-        np.add.at(out, own, self.weight[at])
-        return out
+        one, sums = self._grouped(own, at)
+        words = [map(self.words.__getitem__, (self.numbers[at[one] + j]).tolist()) for j in range(k)]
+        return [b"".join(run)[:-1] for run in zip(*words)], sums
 
 
 def _counted(dictionary: DataFrame, longest: int, emit, schema: str) -> DataFrame:
     """Blocks of the dictionary's chunks, by language, through ``emit``."""
 
     def work(batches):
-        words, held, size = Words(), defaultdict(list), 0
+        held, size = defaultdict(list), 0
 
         def blocks():
             for lang, rows in held.items():
-                yield from emit(Block(words, lang, rows, longest))
+                yield from emit(Block(lang, rows, longest))
             held.clear()
 
         for batch in batches:
             for lang, chunk, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                found = chunk.split(b" ")
-                held[lang].append((found, n))
-                size += len(found)
+                held[lang].append((chunk, n))
+                size += chunk.count(b" ")
                 if size >= TOKENS:
                     yield from blocks()
                     size = 0
-                    if len(words) > VOCABULARY:
-                        words = Words()
         if held:
             yield from blocks()
 
@@ -257,7 +282,7 @@ def frequent_phrases(dictionary: DataFrame, longest: int = LONGEST, least: int =
 
     def emit(block: Block):
         own = {j: BitTable(*t) for j, t in tables.value.items()}
-        total = int(block.weight[block.reach > 0].sum())
+        total = int(block.weight[block.starts[0]].sum())
         yield _phrase_batch(block.lang, 0, [b""], [total])
         for k in range(1, longest + 1):
             phrases, sums = block.exact(k, own)
