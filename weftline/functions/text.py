@@ -1,9 +1,9 @@
 """Text columns: whitespace, words, folding for comparison, similarity.
 
-Everything that can be an expression is one.  Python is used twice, both times
-through Arrow: folding texts whose characters need Unicode compatibility
-normalisation, and the sequence-matching ratio.  Those functions are built by
-factories so that they travel to executors by value.
+Everything that can be an expression is one.  Python is used through Arrow, to fold
+texts whose characters need Unicode compatibility normalisation and to find where their
+folded characters come from.  Those functions are built by factories so that they travel
+to executors by value.
 """
 
 import pandas as pd
@@ -194,6 +194,63 @@ def border_grams(c: Column | str) -> Column:
     return F.array_distinct(F.regexp_extract_all(_c(c), F.lit(r"(?=(\S{1,3} \S{1,3}))"), F.lit(1)))
 
 
+def longest_block(a: Column, b: Column) -> Column:
+    """The longest piece that two strings share: struct(size, a, b), places from 0.
+
+    Its size is found by halving, since a shared piece holds shared pieces of every smaller
+    size.  Of pieces of equal size the first in ``a`` counts, at its first place in ``b``.
+    Places mean nothing where the size is 0.
+    """
+    most = F.least(F.length(a), F.length(b))
+    shares = lambda k: F.exists(F.sequence(F.lit(1), F.length(a) - k + 1), lambda i: F.contains(b, F.substring(a, i, k)))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["lo"] + s["hi"] + 1) / 2).cast("int")
+        kept = F.struct(middle.alias("lo"), s["hi"].alias("hi"))
+        cut = F.struct(s["lo"].alias("lo"), (middle - 1).alias("hi"))
+        return F.when(s["lo"] >= s["hi"], s).when(shares(middle), kept).otherwise(cut)
+
+    rounds = F.sequence(F.lit(1), F.greatest(F.ceil(F.log2(most + 1)).cast("int"), F.lit(1)))
+    begin = F.struct(F.lit(0).alias("lo"), most.alias("hi"))
+    size = F.aggregate(rounds, begin, halve, lambda s: s["lo"])
+
+    def placed(k: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(a) - k + 1, F.lit(1)))
+        first = F.array_min(F.filter(starts, lambda i: F.contains(b, F.substring(a, i, k))))
+        piece = lambda i: F.struct(k.alias("size"), (i - 1).alias("a"), (F.position(F.substring(a, i, k), b) - 1).alias("b"))
+        return _bound(first, piece)
+
+    return _bound(size, placed)
+
+
+def block_ratio(a: Column, b: Column) -> Column:
+    """Twice the characters in matched blocks over the characters of both strings, 0 to 1.
+
+    The longest shared piece is a block; what lies before it and what lies behind it is
+    matched in the same way, by a fold over a stack of string pairs that are still open.
+    Two empty strings have ratio 1.
+    """
+    pair = lambda x, y: F.struct(x.alias("a"), y.alias("b"))
+
+    def step(s: Column, _: Column) -> Column:
+        top = F.element_at(s["open"], 1)
+        rest = F.slice(s["open"], 2, F.length(a) + F.length(b))
+
+        def matched(block: Column) -> Column:
+            k, x, y = block["size"], block["a"], block["b"]
+            before = pair(F.left(top["a"], x), F.left(top["b"], y))
+            behind = pair(F.substr(top["a"], x + k + 1), F.substr(top["b"], y + k + 1))
+            more = F.filter(F.array(before, behind), lambda p: (p["a"] != "") & (p["b"] != ""))
+            return F.struct(F.when(k > 0, F.concat(more, rest)).otherwise(rest).alias("open"), (s["sum"] + k).alias("sum"))
+
+        return F.when(F.size(s["open"]) == 0, s).otherwise(_bound(longest_block(top["a"], top["b"]), matched))
+
+    begin = F.struct(F.filter(F.array(pair(a, b)), lambda p: (p["a"] != "") & (p["b"] != "")).alias("open"), F.lit(0).alias("sum"))
+    total = F.aggregate(F.sequence(F.lit(0), 2 * F.length(a)), begin, step, lambda s: s["sum"])
+    both = F.length(a) + F.length(b)
+    return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * total / both)
+
+
 #: Pieces whose running length is taken in one array.
 PIECES = 256
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import strip, word_count
 from weftline.functions.values import kappa, kappa_band, pct
+from weftline.operators.segments import text_sizes, with_cut
 from weftline.operators.statistics import codings_excerpts, in_frame
 from weftline.project import Project, blank, keys, union_all
 
@@ -57,16 +58,18 @@ def source_outside_frame(project: Project) -> DataFrame:
 
 
 def excerpts_sources(project: Project) -> DataFrame:
-    """(excerpt_id, status): ok, missing, out_of_bounds or drift."""
-    source = project.sources.select("source_id", F.coalesce("text", F.lit("")).alias("_text"), F.lit(True).alias("_there"))
-    x = project.excerpts.join(source, "source_id", "left")
-    inside = (F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.length("_text"))
-    now = F.expr("substring(_text, start + 1, end - start)")
+    """(excerpt_id, status): ok, missing, out_of_bounds or drift.
+
+    Sources are met by their sizes and by the segments that excerpts touch, never whole.
+    """
+    x = project.excerpts.select("excerpt_id", "source_id", "start", "end", F.coalesce("text", F.lit("")).alias("_held"))
+    x = with_cut(x, project.sources, name="_now").join(text_sizes(project.sources), "source_id", "left")
+    inside = (F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.col("size"))
     return x.select(
         "excerpt_id",
-        F.when(F.col("_there").isNull(), F.lit("missing"))
+        F.when(F.col("size").isNull(), F.lit("missing"))
         .when(~inside, F.lit("out_of_bounds"))
-        .when(~blank("text") & (now != F.col("text")), F.lit("drift"))
+        .when(~blank("_held") & (F.col("_now") != F.col("_held")), F.lit("drift"))
         .otherwise(F.lit("ok"))
         .alias("status"),
     )

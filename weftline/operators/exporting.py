@@ -11,19 +11,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.text import _c, has_wide, strip
+from weftline.functions.text import has_wide, strip
 from weftline.functions.values import participant_label, stable_guid
 from weftline.operators.ordered import running_sums
+from weftline.operators.segments import count_before, counts_at, text_sizes, with_cut
 from weftline.project import Project, blank, union_all
 
 RULE = "─" * 66
 LARGEST_CELL = 100_000_000
 
 
-def newline_remap(text: Column | str, offset: Column | str) -> Column:
-    """Offset after every line feed in front of it became two characters."""
-    before = F.left(_c(text), _c(offset).cast("int"))
-    return _c(offset) + F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
+def newline_remap(spans: DataFrame, texts: DataFrame) -> DataFrame:
+    """``spans`` (source_id, start, end, ..) after every line feed of ``texts`` became two characters."""
+    points = spans.select("source_id", F.explode(F.array("start", "end")).alias("at"))
+    feeds = count_before(points, texts)
+    out = counts_at(counts_at(spans, feeds, "start", "_f"), feeds, "end", "_g")
+    return out.withColumn("start", F.col("start") + F.col("_f")).withColumn("end", F.col("end") + F.col("_g")).select(*spans.columns)
 
 
 def _lead(text: str = "text") -> Column:
@@ -176,18 +179,18 @@ def export_check(project: Project, merge: bool = True, parts: DataFrame | None =
     Offsets are verified against the parts as they will be written.
     """
     parts = document_parts(project, merge) if parts is None else parts
-    src = project.sources.select("source_id", F.coalesce("text", F.lit("")).alias("_text"), F.lit(True).alias("_there"))
     x = project.excerpts.select("excerpt_id", "source_id", "start", "end", "text")
-    cut = F.expr("substring(_text, start + 1, end - start)")
-    first = x.join(src, "source_id", "left").select(
+    first = with_cut(x, project.sources, name="_cut").join(text_sizes(project.sources), "source_id", "left").select(
         "excerpt_id", "source_id", "start", "end", "text",
-        F.when(F.col("_there").isNull(), F.concat(F.lit("no source "), "source_id"))
-        .when(cut != F.col("text"), F.lit("text does not match its offsets")).alias("problem"),
+        F.when(F.col("size").isNull(), F.concat(F.lit("no source "), "source_id"))
+        .when(F.col("_cut") != F.col("text"), F.lit("text does not match its offsets")).alias("problem"),
     )
     good = first.where("problem is null").drop("problem")
-    landed = good.join(parts.select("source_id", "doc_id", "shift", F.col("start").alias("_at"), "piece"), "source_id")
-    at = F.col("start") + F.col("shift") - F.col("_at")
-    lands = (at >= 0) & (F.substring(F.col("piece"), (at + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")) == F.col("text"))
+    placed = good.join(parts.select("source_id", "doc_id", (F.col("shift") - F.col("start")).alias("_move")), "source_id").select(
+        "excerpt_id", "doc_id", "source_id", "text", (F.col("start") + F.col("_move")).alias("start"), (F.col("end") + F.col("_move")).alias("end")
+    )
+    landed = with_cut(placed, parts, "piece", "_cut")
+    lands = (F.col("start") >= 0) & (F.col("_cut") == F.col("text"))
     wide = project.sources.where(has_wide("text")).select(
         F.col("source_id").alias("object_id"), F.lit("characters beyond the basic plane").alias("problem")
     )
@@ -236,17 +239,19 @@ def export_positions(
     start, end = F.col("start"), F.col("end")
     out = selections
     if parts is not None:
-        out = out.join(_newlines(parts), "source_id")
-        local = lambda p: F.left("piece", (p - F.col("_at")).cast("int"))
-        lines = lambda p: F.length(local(p)) - F.length(F.replace(local(p), F.lit("\n"), F.lit("")))
-        start, end = start + F.col("_nl") + lines(start), end + F.col("_nl") + lines(end)
+        at = parts.select("source_id", F.col("start").alias("_at"))
+        out = out.join(at, "source_id").join(_newlines(parts), "source_id")
+        out = out.withColumn("_p", start - F.col("_at")).withColumn("_q", end - F.col("_at"))
+        feeds = count_before(out.select("source_id", F.explode(F.array("_p", "_q")).alias("at")), parts, text="piece")
+        out = counts_at(counts_at(out, feeds, "_p", "_f"), feeds, "_q", "_g")
+        start, end = start + F.col("_nl") + F.col("_f"), end + F.col("_nl") + F.col("_g")
     return out.withColumn("_s", start + base).withColumn("_e", end + base - int(inclusive)).withColumn(
         "start", F.col("_s")
     ).withColumn("end", F.col("_e")).select(*selections.columns)
 
 
 def _newlines(parts: DataFrame) -> DataFrame:
-    """(source_id, _at, _nl, piece): line feeds in front of each part.
+    """(source_id, _nl): line feeds in front of each part.
 
     A heading always has four: after the name, after the ids, and two after the rule.
     """
@@ -254,9 +259,7 @@ def _newlines(parts: DataFrame) -> DataFrame:
     counted = running_sums(
         parts.select("source_id", "doc_id", "start", feeds.alias("_f")), ["doc_id"], ["start"], F.col("_f"), "_b"
     )
-    return counted.select("source_id", (F.col("_b") + 4).alias("_nl")).join(
-        parts.select("source_id", F.col("start").alias("_at"), "piece"), "source_id"
-    )
+    return counted.select("source_id", (F.col("_b") + 4).alias("_nl"))
 
 
 def shortest_passages(project: Project, parts: DataFrame, k: int = 5) -> DataFrame:

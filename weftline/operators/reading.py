@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import SPACES
+from weftline.operators.segments import with_cut
 from weftline.project import Project, all_of
 
 
@@ -76,8 +77,7 @@ def span_bounds(spans: DataFrame, sources: DataFrame) -> DataFrame:
 
 def selection_trim(spans: DataFrame, sources: DataFrame) -> DataFrame:
     """Trim white space at both ends of a span; drop what is left under two characters."""
-    cut = F.expr("substring(text, start + 1, end - start)")
-    trims = spans.join(sources.select("source_id", "text"), "source_id").withColumn("_cut", cut)
+    trims = with_cut(spans, sources, name="_cut").where("_cut <> ''")
     n = F.length("_cut")
     return (
         trims.withColumn("_l", n - F.length(F.ltrim("_cut", F.lit(SPACES))))

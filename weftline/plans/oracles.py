@@ -242,6 +242,14 @@ RESOLVE = dict(
       (select string_agg(pl, ', ' order by pl) from (select distinct concat('PID', pid, '/', unit) pl from kept k where k.sheet_row = c.sheet_row)), ')') reason
       from counts c where n > 1""",
 )
+
+
+def longest_block(a: str, b: str) -> str:
+    """The longest piece of ``a`` that ``b`` holds as {k: size, ni: minus its place}, or null."""
+    pieces = f"flatten(list_transform(range(length({a})), lambda i: list_transform(range(1, length({a}) - i + 1), lambda k: {{'k': k, 'ni': -i}})))"
+    return f"list_max(list_filter({pieces}, lambda c: contains({b}, substr({a}, 1 - c.ni, c.k))))"
+
+
 CLOSEST = dict(
     lost="select sheet_row, nq from q where length(nq) >= 8 and sheet_row not in (select sheet_row from hits)",
     lost_words="select sheet_row, string_split(nq, ' ') w from lost",
@@ -256,8 +264,26 @@ CLOSEST = dict(
     closest="""select o.sheet_row, coalesce(arg_min(source_id, (-share, source_id)), '') closest_source,
       round_even(coalesce(max(share), 0.0), 2) similarity, case when max(share) is null then 'unmatched' else 'close_match' end reason
       from lost o left join gram_shares g on o.sheet_row = g.sheet_row group by o.sheet_row""",
+    near=f"""select sheet_row, source_id, nq, n, text, {longest_block('nq', 'n')} best
+      from closest join lost using (sheet_row) join s on s.source_id = closest_source""",
+    aimed="""select sheet_row, source_id, text, nq, p, substr(n, p + 1, length(nq)) near_text
+      from (select *, strpos(n, substr(nq, 1 - best.ni, best.k)) - 1 p from near)""",
+    opened=f"""select sheet_row, nq a, near_text b, {longest_block('nq', 'near_text')} best from aimed
+      union all select sheet_row, x.a, x.b, {longest_block('x.a', 'x.b')} from (
+        select sheet_row, unnest([{{'a': left(a, -best.ni), 'b': left(b, strpos(b, substr(a, 1 - best.ni, best.k)) - 1)}},
+          {{'a': substr(a, 1 - best.ni + best.k), 'b': substr(b, strpos(b, substr(a, 1 - best.ni, best.k)) + best.k)}}]) x
+        from opened where best is not null) where x.a <> '' and x.b <> ''""",
+    matched="select sheet_row, sum(best.k) m from opened where best is not null group by sheet_row",
+    near_offs=f"""select source_id, i, length(regexp_replace(regexp_replace(left(text, i), '^{WS}', ''), '{WS}', ' ', 'g')) m
+      from (select source_id, text, unnest(range(1, length(text) + 1)) i from (select distinct source_id, text from aimed))""",
+    near_at="select source_id, m, min(i) i from near_offs group by source_id, m",
+    misses="""select c.*, cast(x.i - 1 as int) closest_start, cast(y.i as int) closest_end,
+      round_even(2.0::double * d.m / (length(nq) + length(near_text)), 2) ratio
+      from closest c left join aimed t on c.sheet_row = t.sheet_row left join matched d on d.sheet_row = t.sheet_row
+      left join near_at x on x.source_id = t.source_id and x.m = t.p + 1
+      left join near_at y on y.source_id = t.source_id and y.m = t.p + length(near_text)""",
 )
-plain("fuzzy_closest", "select * from closest", **MATCH, **CLOSEST)
+plain("fuzzy_closest", "select * from misses", **MATCH, **CLOSEST)
 plain("match_quotes", 'select sheet_row, source_id, start, end_ as "end" from hits', **MATCH)
 plain("hint_narrow", 'select sheet_row, source_id, start, end_ as "end" from kept', **MATCH, **NARROW)
 plain("resolve_unique", """
@@ -272,9 +298,12 @@ star("codings_excerpts", "select kind, coder, count(*) as n, count(distinct pid)
 star("in_frame", "select code_id, pid, unit from hits")
 star("loose", "select code_id, pid from loosely")
 text("excerpts_sources", """
-select excerpt_id, case when start % 11 = 0 then 'missing' when start % 11 = 1 then 'out_of_bounds'
-  when start % 11 = 2 then 'drift' else 'ok' end as status from excerpts
-""")
+select excerpt_id, case when s.source_id is null then 'missing'
+  when not (x.start >= 0 and x.start < x.end_ and x.end_ <= length(coalesce(s.text, ''))) then 'out_of_bounds'
+  when trim(x.text) <> '' and substring(s.text, x.start + 1, x.end_ - x.start) <> x.text then 'drift' else 'ok' end as status
+from broken x left join sources s on x.source_id = s.source_id
+""", broken="""select excerpt_id, case when start % 11 = 0 then 'S-gone' else source_id end source_id, start,
+  case when start % 11 = 1 then end_ + 100000 else end_ end end_, case when start % 11 = 2 then 'changed' else text end as text from excerpts""")
 HOLED = dict(holed="select * from frame where docs <> '2' union all select pid, concat(unit, '-later'), quality, toxic, chars, docs from frame where docs = '1'")
 text("frame_without_source", "select pid, unit from holed except select pid, unit from sources", **HOLED)
 text("source_outside_frame", """
@@ -800,9 +829,10 @@ def filing(name, body, unit):
 
 
 filing("unresolved_report", f"""
-select sheet_row, {strip('quote')} as quote, problem as reason, '' as closest_source, null::double as similarity from outcome where problem is not null
-union all select r.sheet_row, {strip('o.quote')}, reason, '', null from reasons r join outcome o on r.sheet_row = o.sheet_row
-union all select c.sheet_row, {strip('o.quote')}, c.reason, closest_source, similarity from closest c join outcome o on c.sheet_row = o.sheet_row
+select sheet_row, {strip('quote')} as quote, problem as reason, '' as closest_source, null::double as similarity,
+  null::int as closest_start, null::int as closest_end, null::double as ratio from outcome where problem is not null
+union all select r.sheet_row, {strip('o.quote')}, reason, '', null, null, null, null from reasons r join outcome o on r.sheet_row = o.sheet_row
+union all select c.sheet_row, {strip('o.quote')}, c.reason, closest_source, similarity, closest_start, closest_end, ratio from misses c join outcome o on c.sheet_row = o.sheet_row
 """, "language")
 filing("file_sheet", f"""
 select concat('X-', k.source_id, '-', k.start, '-', k.end_) as excerpt_id, m.code_id, o.val as valence, 'rk' as coder, o.note, o.sheet_row

@@ -788,8 +788,7 @@ def greedy_spans(p):
 
 @text_query
 def newline_remap(p):
-    x = p.excerpts.join(p.sources.select("source_id", F.col("text").alias("body")), "source_id")
-    return x.select("excerpt_id", ex.newline_remap("body", "start").alias("start"), ex.newline_remap("body", "end").alias("end"))
+    return ex.newline_remap(p.excerpts.select("excerpt_id", "source_id", "start", "end"), p.sources).select("excerpt_id", *(F.col(c).cast("int").alias(c) for c in ("start", "end")))
 
 
 @text_query

@@ -57,7 +57,8 @@ NOTES = T.StructType(_strings("note_id", "category", "title", "note", "evidence"
 UNRESOLVED = T.StructType(
     [T.StructField("sheet_row", T.IntegerType())]
     + _strings("quote", "reason", "closest_source")
-    + [T.StructField("similarity", T.DoubleType())]
+    + [T.StructField("similarity", T.DoubleType()), T.StructField("closest_start", T.IntegerType())]
+    + [T.StructField("closest_end", T.IntegerType()), T.StructField("ratio", T.DoubleType())]
 )
 ASSIGNMENT = T.StructType(_strings("pid", "pass", "coder"))
 
