@@ -170,14 +170,15 @@ def _offsets_udf():
     return offsets
 
 
-def fold(c: Column | str) -> Column:
+def fold(c: Column | str, plain: Column | None = None) -> Column:
     """Comparable form of any text.
 
     Only texts outside the plain set are handed to Python; the rest pass null to
-    the Arrow batch and are folded by expressions.
+    the Arrow batch and are folded by expressions.  ``plain`` is a column that holds
+    ``is_plain`` already, so that the text is not looked through again.
     """
     c = _c(c)
-    return F.coalesce(_fold_udf()(F.when(~is_plain(c), c)), fold_plain(c))
+    return F.coalesce(_fold_udf()(F.when(~(is_plain(c) if plain is None else plain), c)), fold_plain(c))
 
 
 def fold_offsets(c: Column | str, positions: Column) -> Column:

@@ -42,17 +42,17 @@ BROADCAST_CHARS = 64_000_000
 
 def folded_sources(sources: DataFrame) -> DataFrame:
     """(source_id, norm, same): folded text, and whether every offset stayed in place."""
-    s = sources.select("source_id", "text")
-    return s.withColumn("norm", fold("text")).select(
-        "source_id", "norm", ((F.length("norm") == F.length("text")) & is_plain("text")).alias("same")
+    s = sources.select("source_id", "text", is_plain("text").alias("_plain"))
+    return s.withColumn("norm", fold("text", F.col("_plain"))).select(
+        "source_id", "norm", ((F.length("norm") == F.length("text")) & F.col("_plain")).alias("same")
     )
 
 
 def normalise_text(df: DataFrame, col: str = "text") -> DataFrame:
     """Append ``norm`` and, per folded character, where it starts and ends."""
-    folded = df.withColumn("norm", fold(col)).withColumn(
-        "_same", (F.length("norm") == F.length(col)) & is_plain(col)
-    )
+    folded = df.withColumn("_plain", is_plain(col)).withColumn("norm", fold(col, F.col("_plain"))).withColumn(
+        "_same", (F.length("norm") == F.length(col)) & F.col("_plain")
+    ).drop("_plain")
     n = F.length("norm")
     nothing = F.array().cast("array<int>")
     upto = lambda first, last: F.when(n > 0, F.sequence(first, last)).otherwise(nothing)
