@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -39,7 +40,6 @@ def codes():
     out = {}
     for path in (WORD, BYTE):
         out[path] = Tokenizer.from_file(path)
-        out[path].encode_special_tokens = True
     return out
 
 
@@ -61,6 +61,27 @@ def test_chunks_encode_like_the_library(text):
         assert code[0].encode(text).tolist() == code[1].encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["end of page <|endoftext|> next page", "<|startoftext|>a", "<|ENDOFTEXT|> b", "x<|endoftext|>", "<|endoftext|", "a  <|startoftext|> \n<|endoftext|>  b"])
+def test_added_tokens_encode_like_the_library(text):
+    for path in (WORD, BYTE):
+        assert Encoder(open(path, encoding="utf-8").read()).encode(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_texts_without_letters_have_no_language(spark):
+    model = language.fit(frame(spark, [(i, "some plain words here" if i % 2 else "unas palabras de aqui") for i in range(60)]).withColumn("lang", F.when(F.col("doc_id") % 2 == 1, "en").otherwise("es")))
+    odd = ["½ ²", "①②", "Ⅷ", "12_3", "", None]
+    got = language.identify(frame(spark, [*enumerate(odd), (9, "½ words")]), model).collect()
+    assert {r.doc_id: r.lang_pred for r in got if r.doc_id < 9} == dict.fromkeys(range(6), "und") and [r.lang_pred for r in got if r.doc_id == 9][0] != "und"
+
+
+def test_building_plans_leaves_the_session_alone(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    QUERIES["op1_token_files"](spark, SF)
+    QUERIES["op7_token_counts"](spark, SF)
+    assert spark.conf.get(key) == before
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 5000), max_size=700))
 def test_elias_fano_gives_back_every_number(steps):

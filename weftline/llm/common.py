@@ -40,9 +40,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow over small batches, since a batch of long texts has to fit into memory."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(work, schema)
+    """mapInArrow over small batches, since what is made of a batch of long texts has to fit into memory.
+
+    Spark's own batches are bounded by bytes; they are cut here, the session's settings stay.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                yield batch.slice(at, BATCH_ROWS)
+
+    return df.mapInArrow(lambda batches: work(cut(batches)), schema)
 
 
 def set_aside(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
@@ -60,25 +68,45 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def labelled_sample(rows: DataFrame, label: str, text: str, per_label: int, most_labels: int, longest: int):
+#: Characters of a sample for the driver, whatever the number of labels.
+SAMPLE_CHARS = 150_000_000
+
+
+def labelled_sample(rows: DataFrame, label: str, text: str, per_label: int, most_labels: int, longest: int, labels: DataFrame | None = None):
     """A bounded sample of labelled whole texts, spread over the labels, for the driver.
 
-    At most ``most_labels`` labels (the most frequent) with about ``per_label`` rows each are
-    taken, in the order of a hash of the text and id, so that the same table gives the same
-    sample.  Texts of more than ``longest`` characters are not learned from.  Returns
-    pandas rows (label, text, weight), where weight is what a row stands for.
+    ``rows`` has (doc_id, text) and the label, or else ``labels`` has (doc_id, label).  At most
+    ``most_labels`` labels (the most frequent) with about ``per_label`` rows each are taken, in
+    the order of a hash of the text and id, so that the same table gives the same sample, and
+    no more than ``SAMPLE_CHARS`` characters in all.  Texts of more than ``longest`` characters
+    are not learned from.  Rows are drawn by hashes and lengths alone; only the texts drawn are
+    fetched, by a broadcast of their ids.  Returns pandas rows (label, text, weight), where
+    weight is what a row stands for.
     """
-    rows = rows.where(F.col(label).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= longest))
-    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels).collect()
+    spark = rows.sparkSession
+    rows = rows.where(F.col(text).isNotNull() & (F.length(text) <= longest))
+    hashed = F.xxhash64(F.col("doc_id"), F.col(text))
+    if labels is None:
+        light = rows.select("doc_id", F.col(label).alias("label"), hashed.alias("_h"), F.length(text).alias("_n"))
+    else:
+        own = labels.select("doc_id", F.col(label).alias("label"))
+        light = rows.select("doc_id", hashed.alias("_h"), F.length(text).alias("_n")).join(own, "doc_id")
+    light = light.where("label is not null")
+    counts = light.groupBy("label").count().orderBy(F.desc("count"), "label").limit(most_labels).collect()
     if not counts:
-        return rows.select(F.col(label).alias("label"), F.col(text).alias("text"), F.lit(1.0).alias("weight")).limit(0).toPandas()
+        return light.select("label", F.lit("").alias("text"), F.lit(1.0).alias("weight")).limit(0).toPandas()
     share = {r[0]: min(1.0, per_label / r["count"]) for r in counts}
-    dealt = (F.xxhash64(F.col("doc_id"), F.col(text)).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30))
     wanted = F.lit(0.0)
     for value, p in share.items():
-        wanted = F.when(F.col(label) == F.lit(value), F.lit(p)).otherwise(wanted)
-    picked = rows.withColumn("_at", dealt).where(F.col("_at") < wanted).select(
-        F.col(label).alias("label"), F.col(text).alias("text"), (1.0 / wanted).alias("weight"), "_at", "doc_id"
-    )
-    most = int(1.5 * per_label * len(share)) + 100
-    return picked.orderBy("_at", "doc_id", "text").limit(most).drop("_at", "doc_id").toPandas()
+        wanted = F.when(F.col("label") == F.lit(value), F.lit(p)).otherwise(wanted)
+    at = F.col("_h").bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)
+    drawn = light.withColumn("_at", at).where(F.col("_at") < wanted).select("doc_id", "_h", "label", F.when(wanted > 0, 1.0 / F.nullif(wanted, F.lit(0.0))).alias("weight"), "_at", "_n").distinct()
+    most, room, picked = int(1.5 * per_label * len(share)) + 100, SAMPLE_CHARS, []
+    for row in drawn.orderBy("_at", "doc_id", "_h").limit(most).collect():
+        room -= row["_n"]
+        if room < 0:
+            break
+        picked.append(row)
+    ids = spark.createDataFrame(picked, drawn.schema).withColumnRenamed("doc_id", "_id").drop("_n")
+    texts = rows.select("doc_id", F.col(text).alias("text"), hashed.alias("_h")).join(F.broadcast(ids), "_h").where(F.col("doc_id").eqNullSafe(F.col("_id")))
+    return texts.select("label", "text", "weight", "_at", "doc_id").toPandas().sort_values(["_at", "doc_id", "text"]).drop(columns=["_at", "doc_id"]).reset_index(drop=True)

@@ -7,7 +7,6 @@ embeddings.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +18,6 @@ from weftline.llm.common import labelled_sample, map_batches
 from weftline.llm.subwords import Shape, bags, portions, softmax, text_logits, train
 
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 SHAPE = Shape(sizes=(3, 4), buckets=1 << 15, digits=False)
 #: Bounds of the sample: rows of a language, languages, characters of a text.
 PER_LANGUAGE, LANGUAGES, LONGEST = 500, 200, 20_000
@@ -29,6 +27,11 @@ LOST_SHARE = 0.001
 SURE = 0.5
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether some character is a letter; digits, fractions and letter-like numbers are none."""
+    return any(map(str.isalpha, text or ""))
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -41,7 +44,7 @@ class Model:
         logits, count = (np.concatenate(x) for x in zip(*parts))
         p = softmax(logits * self.temperature)
         best = p.argmax(axis=1)
-        names = [self.languages[b] if t and LETTER.search(t) else UNKNOWN for t, b in zip(texts, best)]
+        names = [self.languages[b] if has_letter(t) else UNKNOWN for t, b in zip(texts, best)]
         score = np.where([n == UNKNOWN for n in names], 0.0, np.where(count > 0, p.max(axis=1), 1 / len(self.languages)))
         return names, score
 
@@ -49,7 +52,7 @@ class Model:
 def fit(rows: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """A model from labelled ``rows`` (doc_id, text, lang); None if there are none."""
     sample = labelled_sample(rows.select("doc_id", "text", "lang"), "lang", "text", per_language, LANGUAGES, LONGEST)
-    sample = sample[sample["text"].map(lambda t: bool(LETTER.search(t)))]
+    sample = sample[sample["text"].map(has_letter)]
     if sample.empty:
         return None
     languages = sorted(sample["label"].unique())

@@ -51,7 +51,7 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    model = toxicity.fit(toxicity.labelled(docs.where(~held_out()).select("doc_id", "text"), labels.where(~held_out())))
+    model = toxicity.fit(docs.where(~held_out()).select("doc_id", "text"), labels.where(~held_out()))
     scored = toxicity.score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 

@@ -176,5 +176,4 @@ def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids"],
                 )
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a row is a shard here
     return placed.mapInArrow(decode, DOCUMENT_SCHEMA)

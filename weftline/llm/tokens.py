@@ -4,7 +4,8 @@ Encoding a text anew costs most of its time on words seen before.  In a text of
 Latin characters the pre-tokenizer never crosses a single blank between two words, so the
 text is cut there and a chunk's ids are kept in a bounded table; a chunk that is not in
 the table is cut by the file's own pattern and its pieces go through the library's model.
-Every other text, and every other kind of tokenizer, goes through the library whole.
+Every other text (one with the content of an added token among them), and every other
+kind of tokenizer, goes through the library whole.
 """
 
 from __future__ import annotations
@@ -45,7 +46,6 @@ class Encoder:
 
     def __init__(self, source: str, chunks: int = 80_000):
         self.tokenizer = Tokenizer.from_str(source)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         kind = json.loads(source)
@@ -58,6 +58,9 @@ class Encoder:
                 self.kind = "byte"
             elif steps == ["NFC", "Replace", "Lowercase"] and split and split["pattern"].get("Regex", "").startswith(ENDINGS + "|[\\p{L}]+|[\\p{N}]|"):
                 self.kind = "word"
+        # Added tokens are found before a text is cut up; a text that may hold one goes through the library whole.
+        self.added = [t["content"] for t in kind.get("added_tokens", []) if t["content"]]
+        self.added += [t.lower() for t in self.added if self.kind == "word" and t.lower() not in self.added]
         vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
         self.chunks = chunks
@@ -81,11 +84,15 @@ class Encoder:
         first, *rest = SINGLE_BLANK.split(text) if BLANK_RUN.search(text) or text[:1] == " " or text[-1:] == " " else text.split(" ")
         return [first, *[" " + x for x in rest]]
 
+    def _may_hold_added(self, text: str) -> bool:
+        text = text.lower() if self.kind == "word" else text
+        return any(token in text for token in self.added)
+
     def encode(self, text: str) -> np.ndarray:
         """The ids of one whole text."""
         if not text:
             return np.zeros(0, self.dtype)
-        if self.kind == "whole" or OTHER_TEXT.search(text):
+        if self.kind == "whole" or OTHER_TEXT.search(text) or self._may_hold_added(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
         chunks, known = self._chunks(text), self.known
         if new := set(chunks).difference(known):

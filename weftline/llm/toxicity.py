@@ -81,9 +81,12 @@ def _learn(words: list[bytes], toxic: np.ndarray, weight: np.ndarray, epochs: in
     return (table[:, 1] - table[:, 0]).astype(np.float32)
 
 
-def fit(rows: DataFrame, per_label: int = PER_LABEL) -> Model | None:
-    """A model from labelled ``rows`` (doc_id, text, toxic 0/1); None without both labels."""
-    sample = labelled_sample(rows.select("doc_id", "text", "toxic"), "toxic", "text", per_label, 2, LONGEST)
+def fit(rows: DataFrame, labels: DataFrame | None = None, per_label: int = PER_LABEL) -> Model | None:
+    """A model from ``rows`` (doc_id, text) and ``labels`` (doc_id, toxic 0/1); None without both labels.
+
+    Without ``labels`` the rows have ``toxic`` themselves.
+    """
+    sample = labelled_sample(rows, "toxic", "text", per_label, 2, LONGEST, labels)
     y = sample["label"].to_numpy(float)
     if len(set(y)) < 2:
         return None
@@ -151,7 +154,3 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
 
     return map_batches(out, work, out.select("*", F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema)
 
-
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of documents that have a label."""
-    return docs.join(labels.select("doc_id", "toxic"), "doc_id").select("doc_id", "text", "toxic")
