@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions.text import strip
 from weftline.functions.values import padded
 from weftline.operators.ordered import row_numbers_by_integer
+from weftline.operators.ordered import global_ordinal
 
 # A mapping is a dict: pid, unit, text [..], categories [..], measures [..], kind and
 # labels {header: short name}; headers are keys of the cells map.
@@ -66,6 +67,11 @@ def build_frame(cells: DataFrame, mapping: dict) -> DataFrame:
     return frame_first_row(rows, ["pid", "unit"])
 
 
+def frame_order(frame: DataFrame) -> DataFrame:
+    """``frame`` with ``place``: by participant, then unit, both as text."""
+    return global_ordinal(frame, ["pid", "unit"])
+
+
 def has_kind_flag(frame: DataFrame, sources: DataFrame, kind: str = "interview") -> DataFrame:
     """Append has_<kind>: whether the participant of a frame row has such a source."""
     has = sources.where(F.col("kind") == kind).select("pid").distinct().withColumn("_has", F.lit("yes"))

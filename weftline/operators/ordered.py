@@ -130,3 +130,59 @@ def row_numbers_by_integer(
         .withColumn(name, F.row_number().over(w) + F.col("_lift"))
         .drop("_chunk", "_lift")
     )
+
+
+#: Rows of the sample that range boundaries are taken from, for each range.
+SAMPLE_A_RANGE = 32
+
+
+def range_bounds(df: DataFrame, keys: list[str], ranges: int) -> Column:
+    """Boundaries of about equally full ranges of the ascending ``keys``, as a literal array of structs.
+
+    They come from ``SAMPLE_A_RANGE`` rows a range with the smallest hashes, so one bounded
+    sample goes to the driver; they steer work and not results.
+    """
+    drawn = df.select(*keys).orderBy(F.xxhash64(*keys)).limit(SAMPLE_A_RANGE * ranges)
+    rows = drawn.orderBy(*[F.col(k).asc_nulls_first() for k in keys]).collect()
+    cut = [rows[i] for i in range(SAMPLE_A_RANGE, len(rows), SAMPLE_A_RANGE)]
+    kinds = {f.name: f.dataType for f in df.select(*keys).schema}
+    bound = lambda row: F.struct(*[F.lit(row[k]).cast(kinds[k]).alias(k) for k in keys])
+    if not cut:
+        return F.array().cast(f"array<{df.select(F.struct(*keys).alias('k')).schema['k'].dataType.simpleString()}>")
+    return F.array(*map(bound, cut))
+
+
+def _range_of(bounds: Column, key: Column) -> Column:
+    """How many boundaries a key has reached, by halving."""
+    n = F.size(bounds)
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        reached = F.element_at(bounds, middle + 1) <= key
+        up = F.struct((middle + 1).alias("lo"), s["hi"].alias("hi"))
+        down = F.struct(s["lo"].alias("lo"), middle.alias("hi"))
+        return F.when(s["lo"] >= s["hi"], s).when(reached, up).otherwise(down)
+
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(n + 1.0)).cast("int"))
+    return F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), n.alias("hi")), halve, lambda s: s["lo"])
+
+
+def global_ordinal(df: DataFrame, keys: list[str], name: str = "place", ranges: int | None = None) -> DataFrame:
+    """Append the 1-based place of every row in the ascending order of ``keys``, nulls first.
+
+    Rows are cut into ranges by fixed boundaries, numbered inside their range and lifted by
+    the number of rows in the ranges in front, a table of one row a range.  The range of a
+    row depends on its keys alone, so a lost executor cannot renumber anything, and no task
+    has more than a range.  ``keys`` have to tell rows apart; equal ones get places in any
+    order.
+    """
+    ranges = ranges or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
+    bounds = range_bounds(df, keys, ranges)
+    cut = df.withColumn("_range", _range_of(bounds, F.struct(*keys)))
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
+    lifts = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows")).select(
+        F.col("_range").alias("_of"), F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_lift")
+    )
+    own = Window.partitionBy("_range").orderBy(*[F.col(k).asc_nulls_first() for k in keys])
+    numbered = cut.withColumn("_at", F.row_number().over(own)).join(F.broadcast(lifts), F.col("_range") == F.col("_of"))
+    return numbered.withColumn(name, F.col("_at") + F.col("_lift")).drop("_range", "_of", "_at", "_lift")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import SPACES
+from weftline.operators.ordered import global_ordinal
 from weftline.operators.segments import with_cut
 from weftline.project import Project, all_of
 
@@ -68,6 +69,11 @@ def filter_sources(
     return s
 
 
+def excerpt_order(excerpts: DataFrame) -> DataFrame:
+    """``excerpts`` with ``place``: by source, then start as a number, then id."""
+    return global_ordinal(excerpts.withColumn("_start", F.col("start").cast("long")), ["source_id", "_start", "excerpt_id"]).drop("_start")
+
+
 def span_bounds(spans: DataFrame, sources: DataFrame) -> DataFrame:
     """Append ``ok``: 0 <= start < end <= length of the source."""
     size = sources.select("source_id", F.length(F.coalesce("text", F.lit(""))).alias("_len"))

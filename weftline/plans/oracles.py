@@ -530,6 +530,11 @@ FLAGS = dict(
 BAND = "case when {k} is null then 'not defined' when {k} >= 0.81 then 'almost perfect' when {k} >= 0.61 then 'substantial' when {k} >= 0.41 then 'moderate' when {k} >= 0.21 then 'fair' when {k} >= 0 then 'slight' else 'worse than chance' end"
 KAPPA = f'''select code_id, nboth as "both", only_a, only_b, neither, round(po, 6) as agree, round(kappa, 6) as kappa, {BAND.format(k="kappa")} as band from kappas'''
 star("kappa_by_code", KAPPA, **FLAGS)
+star("kappa_order", """
+select code_id, kappa, row_number() over (order by kappa is null, kappa, code_id) as place from (select code_id, round(kappa, 6) kappa from kappas)
+""", **FLAGS)
+star("excerpt_order", "select excerpt_id, source_id, row_number() over (order by source_id, cast(start as bigint), excerpt_id) as place from excerpts")
+star("frame_order", "select pid, unit, row_number() over (order by pid, unit) as place from frame")
 text("kappa_by_code_text", KAPPA, **FLAGS)
 plain("kappa_band", f"select {BAND.format(k='((l_quantity - 5) / 45)')} as band, count(*) as n from lineitem group by 1")
 text("reliability_overall", f"""

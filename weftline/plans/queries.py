@@ -575,6 +575,22 @@ def kappa_by_code(p):
     return k.select("code_id", "both", "only_a", "only_b", "neither", F.round("agree", 6).alias("agree"), F.round("kappa", 6).alias("kappa"), "band")
 
 
+@star_query
+def kappa_order(p):
+    k = au.kappa_by_code(p, A, B).withColumn("kappa", F.round("kappa", 6))
+    return au.kappa_order(k).select("code_id", "kappa", "place")
+
+
+@star_query
+def excerpt_order(p):
+    return re_.excerpt_order(p.excerpts).select("excerpt_id", "source_id", "place")
+
+
+@star_query
+def frame_order(p):
+    return bu.frame_order(p.frame).select("pid", "unit", "place")
+
+
 @text_query
 def kappa_by_code_text(p):
     k = au.kappa_by_code(p, A, B)
