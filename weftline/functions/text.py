@@ -99,9 +99,7 @@ def _folder():
     """
     import unicodedata
 
-    same = {}
-    for group, plain in ((APOSTROPHES, "'"), (QUOTATION_MARKS, '"'), (DASHES, "-")):
-        same.update(dict.fromkeys(group, plain))
+    same = {ord(c): plain for group, plain in ((APOSTROPHES, "'"), (QUOTATION_MARKS, '"'), (DASHES, "-")) for c in group}
     nfkc = unicodedata.normalize
 
     def clusters(text):
@@ -118,24 +116,17 @@ def _folder():
             i = j
 
     def fold(text):
-        out, starts, ends, gap = [], [], [], True
-        for i, j in clusters(text):
-            for ch in nfkc("NFKC", text[i:j]):
-                ch = same.get(ch, ch)
-                if ch.isspace():
-                    if gap:
-                        continue
-                    ch, gap = " ", True
-                else:
-                    ch, gap = ch.lower(), False
-                out.append(ch)
-                starts += [i] * len(ch)
-                ends += [j] * len(ch)
-        if out and out[-1] == " ":
-            out.pop()
-            starts.pop()
-            ends.pop()
-        return "".join(out), starts, ends
+        # One row a cluster (start, end, normalised piece), then one a character of the pieces.
+        table = [(i, j, nfkc("NFKC", text[i:j]).translate(same)) for i, j in clusters(text)]
+        chars = [(c, row) for row in table for c in row[2]]
+        space = [c.isspace() for c, _ in chars]
+        # A white space stays where it follows a character that is none, unless only white space follows.
+        kept = [k for k, white in enumerate(space) if not white or (k and not space[k - 1])]
+        if kept and space[kept[-1]]:
+            del kept[-1]
+        shown = [" " if space[k] else chars[k][0].lower() for k in kept]
+        offsets = [[chars[k][1][end] for k, c in zip(kept, shown) for _ in c] for end in (0, 1)]
+        return "".join(shown), *offsets
 
     return fold
 
