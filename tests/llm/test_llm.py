@@ -57,7 +57,7 @@ def ids_of(code, text):
 def test_chunks_encode_like_the_library(text):
     for path in (WORD, BYTE):
         source = open(path, encoding="utf-8").read()
-        code = test_chunks_encode_like_the_library.__dict__.setdefault(path, (Encoder(source, chunks=5), Tokenizer.from_str(source)))
+        code = test_chunks_encode_like_the_library.__dict__.setdefault(path, (Encoder(source, room=1000), Tokenizer.from_str(source)))
         assert code[0].encode(text).tolist() == code[1].encode(text, add_special_tokens=False).ids
 
 

@@ -1,8 +1,8 @@
 """Whole texts to ids with a public tokenizer file, each distinct chunk encoded once.
 
 Encoding a text anew costs most of its time on words seen before.  In a text of plain
-Latin characters the pre-tokenizer never crosses a single blank between two words, so the
-text is cut there and a chunk's ids are kept in a bounded table; a chunk that is not in
+Latin characters the pre-tokenizer never crosses a single blank or line end between two words, so the
+text is cut there and a chunk's ids are kept in a table bounded by bytes; a chunk that is not in
 the table is cut by the file's own pattern and its pieces go through the library's model.
 Every other text (one with the content of an added token among them), and every other
 kind of tokenizer, goes through the library whole.
@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import re
 from pathlib import Path
+from struct import pack
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -27,7 +28,11 @@ WORD_PIECES = re.compile(f"{ENDINGS}|[{LETTER}]+|[{NUMBER}]|[^\\s{LETTER}{NUMBER
 BYTE_PIECES = re.compile(f"{ENDINGS}| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\\s{LETTER}{NUMBER}]+|\\s+(?!\\S)|\\s+")
 
 BLANK_RUN = re.compile(r"\s\s")
-SINGLE_BLANK = re.compile(r"(?<=\S) (?=\S)")
+BEFORE_SINGLE_BLANK = re.compile(r"(?<=\S)(?=[ \n]\S)")
+
+#: Bytes of the table of one worker, of which two generations are kept, and what an entry
+#: takes beside its characters and ids; chunks of a text that are looked up at a time.
+KEPT_BYTES, ENTRY_BYTES, CHUNKS_AT_ONCE = 96 << 20, 190, 50_000
 
 
 def byte_characters() -> dict[int, str]:
@@ -40,11 +45,11 @@ def byte_characters() -> dict[int, str]:
 class Encoder:
     """Ids of whole texts as little-endian arrays.
 
-    ``chunks`` bounds the kept table: when it is full it becomes the older one, from which
-    chunks that occur again are taken over, and the one before that goes.
+    ``room`` bounds the bytes of the kept table: when it is full it becomes the older one, from
+    which chunks that occur again are taken over, and the one before that goes.
     """
 
-    def __init__(self, source: str, chunks: int = 80_000):
+    def __init__(self, source: str, room: int = KEPT_BYTES):
         self.tokenizer = Tokenizer.from_str(source)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -63,26 +68,35 @@ class Encoder:
         self.added += [t.lower() for t in self.added if self.kind == "word" and t.lower() not in self.added]
         vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
-        self.chunks = chunks
+        self.format = "<%d" + ("H" if self.dtype.itemsize == 2 else "I")
+        self.room = room
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.size = self.size_of_pieces = 0
         self.shown = byte_characters()
 
     def _piece(self, piece: str) -> bytes:
         if (kept := self.pieces.get(piece)) is None:
-            shown = piece.encode().decode("latin-1").translate(self.shown)
-            kept = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], self.dtype).tobytes()
-            if len(self.pieces) >= self.chunks // 2:
+            if piece.isascii() and piece.isprintable():
+                shown = piece.replace(" ", self.shown[32])
+            else:
+                shown = piece.encode().decode("latin-1").translate(self.shown)
+            ids = [t.id for t in self.tokenizer.model.tokenize(shown)]
+            kept = pack(self.format % len(ids), *ids)
+            self.size_of_pieces += len(piece) + len(kept) + ENTRY_BYTES
+            if self.size_of_pieces > self.room // 2:
                 self.pieces.clear()
+                self.size_of_pieces = 0
             self.pieces[piece] = kept
         return kept
 
     def _chunks(self, text: str) -> list[str]:
         if self.kind == "word":
             return text.lower().split()
-        first, *rest = SINGLE_BLANK.split(text) if BLANK_RUN.search(text) or text[:1] == " " or text[-1:] == " " else text.split(" ")
-        return [first, *[" " + x for x in rest]]
+        if BLANK_RUN.search(text):
+            return BEFORE_SINGLE_BLANK.split(text)
+        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
     def _may_hold_added(self, text: str) -> bool:
         text = text.lower() if self.kind == "word" else text
@@ -94,17 +108,21 @@ class Encoder:
             return np.zeros(0, self.dtype)
         if self.kind == "whole" or OTHER_TEXT.search(text) or self._may_hold_added(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
-        chunks, known = self._chunks(text), self.known
-        if new := set(chunks).difference(known):
-            pattern = WORD_PIECES if self.kind == "word" else BYTE_PIECES
-            if len(known) + len(new) > self.chunks:
-                self.known, self.older = {}, known
-                known, new = self.known, set(chunks)
-            older = self.older
-            for chunk in new:
-                kept = older.get(chunk)
-                known[chunk] = b"".join(map(self._piece, pattern.findall(chunk))) if kept is None else kept
-        return np.frombuffer(b"".join(map(known.__getitem__, chunks)), self.dtype)
+        chunks = self._chunks(text)
+        parts = [self._kept(chunks[at : at + CHUNKS_AT_ONCE]) for at in range(0, len(chunks), CHUNKS_AT_ONCE)]
+        return np.frombuffer(b"".join(parts), self.dtype)
+
+    def _kept(self, chunks: list[str]) -> bytes:
+        """Ids of some chunks, of which the new ones are encoded and kept."""
+        if self.size > self.room:
+            self.known, self.older, self.size = {}, self.known, 0
+        known, older, pieces = self.known, self.older, WORD_PIECES if self.kind == "word" else BYTE_PIECES
+        for chunk in set(chunks).difference(known):
+            if (kept := older.get(chunk)) is None:
+                kept = b"".join(map(self._piece, pieces.findall(chunk)))
+            known[chunk] = kept
+            self.size += len(chunk) + len(kept) + ENTRY_BYTES
+        return b"".join(map(known.__getitem__, chunks))
 
     def byte_lengths(self) -> np.ndarray:
         """Bytes that each id of a byte-level vocabulary stands for."""
