@@ -61,6 +61,15 @@ def test_chunks_encode_like_the_library(text):
         assert code[0].encode(text).tolist() == code[1].encode(text, add_special_tokens=False).ids
 
 
+def test_a_long_text_outgrows_the_table_and_encodes_like_the_library():
+    text = " ".join(f"w{i % 7}x{i * i % 9973}.\nNext" for i in range(30_000)) + "\n\n  tail \n"
+    for path in (WORD, BYTE):
+        code, plain = Encoder(open(path, encoding="utf-8").read(), room=100_000), Tokenizer.from_file(path)
+        want = plain.encode(text, add_special_tokens=False).ids
+        assert len(code._chunks(text)) > 50_000
+        assert code.encode(text).tolist() == want and code.encode(text).tolist() == want and code.older
+
+
 @pytest.mark.parametrize("text", ["end of page <|endoftext|> next page", "<|startoftext|>a", "<|ENDOFTEXT|> b", "x<|endoftext|>", "<|endoftext|", "a  <|startoftext|> \n<|endoftext|>  b"])
 def test_added_tokens_encode_like_the_library(text):
     for path in (WORD, BYTE):
