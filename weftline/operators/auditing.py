@@ -58,24 +58,27 @@ def source_outside_frame(project: Project) -> DataFrame:
     )
 
 
-def excerpts_sources(project: Project) -> DataFrame:
-    """(excerpt_id, status): ok, missing, out_of_bounds or drift.
-
-    Sources are met by their sizes and by the segments that excerpts touch, never whole.
-    """
+def _held_against_source(project: Project) -> DataFrame:
     x = project.excerpts.select("excerpt_id", "source_id", "start", "end", F.coalesce("text", F.lit("")).alias("_held"))
     x = with_cut(x, project.sources, name="_now").join(text_sizes(project.sources), "source_id", "left")
     inside = (F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.col("size"))
-    return x.select(
-        "excerpt_id",
+    return x.withColumn(
+        "status",
         F.when(F.col("size").isNull(), F.lit("missing"))
-        .when(~inside, F.lit("out_of_bounds"))
+        .when(~F.coalesce(inside, F.lit(False)), F.lit("out_of_bounds"))
         .when(~blank("_held") & (F.col("_now") != F.col("_held")), F.lit("drift"))
-        .otherwise(F.lit("ok"))
-        .alias("status"),
+        .otherwise(F.lit("ok")),
     )
 
 
+def excerpts_sources(project: Project) -> DataFrame:
+    """(excerpt_id, status): ok, missing, out_of_bounds (a null offset too) or drift.
+
+    Sources are met by their sizes and by the segments that excerpts touch, never whole.
+    """
+    return _held_against_source(project).select("excerpt_id", "status")
+
+
 def duplicate_passages(project: Project) -> DataFrame:
     """(text, n): passages coded more than once as separate excerpts."""
     text = F.lower(strip(F.coalesce("text", F.lit(""))))
@@ -138,39 +141,125 @@ def dominance(project: Project) -> DataFrame:
     )
 
 
+#: Check -> severity, in the order of a report.
+CHECKS = {
+    "empty_sources": "problem",
+    "tiny_sources": "note",
+    "frame_without_source": "problem",
+    "source_outside_frame": "problem",
+    "missing_source": "problem",
+    "out_of_bounds": "problem",
+    "drift": "problem",
+    "duplicate_passages": "note",
+    "orphan_codes": "problem",
+    "unused_codes": "note",
+    "no_lens_codes": "note",
+    "silent_participants": "note",
+    "dominant_participant": "note",
+}
+
+# what a table says about a key
+IN_FRAME, IN_SOURCES, CODED, USED, IN_BOOK, RETIRED = 1, 2, 4, 8, 16, 32
+BUCKETS = 256
+
+
+def _fact(kind, a, b="", flag: int = 0, when=None):
+    """One statement of a row: ``kind`` tells what ``a`` and ``b`` are a key of; null unless ``when``."""
+    lit = lambda v: F.lit(v) if v == "" else F.col(v) if isinstance(v, str) else v
+    fact = F.struct(
+        (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), lit(a).alias("a"), lit(b).alias("b"), F.lit(flag).alias("flag")
+    )
+    return fact if when is None else F.when(when, fact)
+
+
+def _facts(df: DataFrame, *facts) -> DataFrame:
+    """The statements of every row, in one pass over the table."""
+    return df.select(F.explode(F.array_compact(F.array(*facts))).alias("f")).select("f.*")
+
+
+def _all_facts(project: Project) -> list[DataFrame]:
+    words, passage = word_count("text"), F.lower(strip("_held"))
+    small = F.when(words == 0, F.lit("empty_sources")).otherwise(F.lit("tiny_sources"))
+    same = Window.partitionBy("excerpt_id").orderBy("pid")
+    placed = project.excerpts.select("excerpt_id", "pid", F.row_number().over(same).alias("_n"))
+    coded = project.codings.select("excerpt_id", "code_id").join(placed, "excerpt_id", "left")
+    once = F.coalesce(F.col("_n") == 1, F.lit(True))  # a coding of an excerpt id that stands twice is one coding
+    kind = F.when(F.col("status") == "missing", F.lit("missing_source")).otherwise(F.col("status"))
+    facts = [
+        _facts(
+            project.sources.select("source_id", "pid", "unit", "text"),
+            _fact("key", "pid", "unit", IN_SOURCES), _fact("pid", "pid", flag=IN_SOURCES), _fact(small, "source_id", when=words < 3),
+        ),
+        _facts(project.frame, _fact("key", "pid", "unit", IN_FRAME)),
+        _facts(
+            _held_against_source(project).withColumn("passage", passage),
+            _fact(kind, "excerpt_id", when=F.col("status") != "ok"), _fact("passage", "passage", when=F.col("passage") != ""),
+        ),
+        _facts(project.codes, _fact("code", "code_id", flag=IN_BOOK), _fact("no_lens_codes", "code_id", when=blank("lens"))),
+        _facts(
+            coded, _fact("code", "code_id", flag=USED, when=once), _fact("codings", "", when=once),
+            _fact("pid", "pid", flag=CODED, when=F.col("_n").isNotNull()),
+        ),
+    ]
+    if project.retired is not None:
+        facts.append(_facts(project.retired, _fact("code", "old_id", flag=RETIRED)))
+    return facts
+
+
 def audit_report(project: Project, k: int = 5) -> DataFrame:
     """(check, severity, n, examples): every check that found something.
 
-    Counts are whole; examples are the first ``k`` in order, taken by a top-k.
+    Each table states once what it knows about its keys, one aggregate puts the statements
+    of a key together, and what is wrong with it are its items.  Items are counted and their
+    first ``k`` found in hashed buckets of each check, so that no task holds a whole check.
+    Rows that repeat one source, code or excerpt id count one by one and are one example.
     """
-    key = F.concat_ws("/", "pid", "unit")
-    texts, outside, spans = blank_text(project), source_outside_frame(project), excerpts_sources(project)
-    top = dominance(project).where("flag")
-    checks = [
-        ("empty_sources", "problem", texts.where("class = 'empty'").select("source_id")),
-        ("tiny_sources", "note", texts.where("class = 'tiny'").select("source_id")),
-        ("frame_without_source", "problem", frame_without_source(project).select(key)),
-        ("source_outside_frame", "problem", outside.where("class = 'real'").select(key)),
-        ("missing_source", "problem", spans.where("status = 'missing'").select("excerpt_id")),
-        ("out_of_bounds", "problem", spans.where("status = 'out_of_bounds'").select("excerpt_id")),
-        ("drift", "problem", spans.where("status = 'drift'").select("excerpt_id")),
-        ("duplicate_passages", "note", duplicate_passages(project).select("text")),
-        ("orphan_codes", "problem", orphan_codes(project).select("code_id")),
-        ("unused_codes", "note", unused_codes(project)),
-        ("no_lens_codes", "note", no_lens_codes(project)),
-        ("silent_participants", "note", silent_participants(project)),
-        ("dominant_participant", "note", top.select("pid")),
+    has = lambda flag: F.col("flags").bitwiseAND(F.lit(flag)) != 0
+    known = union_all(_all_facts(project)).groupBy("kind", "a", "b").agg(
+        F.bit_or("flag").alias("flags"), F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("flag") == CODED, 1)).alias("codings")
+    )
+    kind, slashed = F.col("kind"), F.concat_ws("/", "a", "b")
+    issue = lambda when, check, item, n=F.lit(1).cast("long"), total=F.lit(None).cast("long"): F.when(
+        when, F.struct(F.lit(check).alias("check"), item.alias("item"), n.alias("n"), total.alias("total"))
+    )
+    item, key, pid, code = F.col("a"), kind == "key", kind == "pid", kind == "code"
+    direct = ("empty_sources", "tiny_sources", "missing_source", "out_of_bounds", "drift", "no_lens_codes")
+    issues = [issue(kind == check, check, item, F.col("rows")) for check in direct] + [
+        issue(key & has(IN_FRAME) & ~has(IN_SOURCES), "frame_without_source", slashed),
+        issue(key & has(IN_SOURCES) & ~has(IN_FRAME) & (F.col("b") != ""), "source_outside_frame", slashed),
+        issue((kind == "passage") & (F.col("rows") > 1), "duplicate_passages", item),
+        issue(code & has(USED) & ~has(IN_BOOK) & ~has(RETIRED), "orphan_codes", item),
+        issue(code & has(IN_BOOK) & ~has(USED), "unused_codes", item),
+        issue(pid & has(IN_SOURCES) & ~has(CODED), "silent_participants", item),
+        issue(pid & has(CODED), "dominant_participant", item, F.col("codings")),
+        issue(kind == "codings", "dominant_participant", F.lit(None).cast("string"), F.lit(0).cast("long"), F.col("rows")),
     ]
-    rows = []
-    for name, severity, items in checks:
-        items = items.toDF("item")
-        first = items.orderBy("item").limit(k).agg(F.sort_array(F.collect_list("item"))).scalar()
-        rows.append(
-            items.agg(F.count(F.lit(1)).alias("n")).select(
-                F.lit(name).alias("check"), F.lit(severity).alias("severity"), "n", first.alias("examples")
-            )
-        )
-    return union_all(rows).where("n > 0")
+    found = known.select(F.explode(F.array_compact(F.array(*issues))).alias("i")).select("i.*")
+
+    most = F.col("check") == "dominant_participant"
+    bucket = ["check", "bucket"]
+    # the first of a check are the least items; of the participants those with most codings, behind the total
+    first = Window.partitionBy(*bucket).orderBy(
+        F.when(most, -F.coalesce("total", "n")).otherwise(F.lit(0)), "item"
+    )
+    ranked = (
+        found.withColumn("bucket", F.pmod(F.xxhash64("item"), F.lit(BUCKETS)))
+        .withColumn("r", F.row_number().over(first))
+        .withColumn("many", F.sum("n").over(Window.partitionBy(*bucket)))
+        .where(F.col("r") <= k + 1)
+    )
+    per_check = ranked.groupBy("check").agg(
+        F.sum(F.when(F.col("r") == 1, F.col("many"))).alias("n"), F.max("total").alias("total"),
+        F.sort_array(F.collect_list("item")).alias("items"),
+        F.max("n").alias("top"), F.min_by("item", F.when(F.col("item").isNotNull(), F.struct(-F.col("n"), F.col("item")))).alias("top_item"),
+    )
+    flagged = F.lit(100.0) * F.col("top") / F.col("total") > DOMINANT
+    severity = F.create_map(*[F.lit(x) for pair in CHECKS.items() for x in pair])
+    return per_check.where(~most | flagged).select(
+        "check", severity[F.col("check")].alias("severity"),
+        F.when(most, F.lit(1).cast("long")).otherwise(F.col("n")).alias("n"),
+        F.when(most, F.array("top_item")).otherwise(F.slice("items", 1, k)).alias("examples"),
+    )
 
 
 # ---------------------------------------------------------------- reliability
@@ -219,6 +308,49 @@ def overlap_sets(project: Project, a: str, b: str) -> DataFrame:
     )
 
 
+def set_operations(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """(which, n): how many distinct keys ``on`` are in both, in ``left`` only and in ``right`` only.
+
+    One aggregate over both; null keys are equal.  Always three rows.
+    """
+    side = lambda df, bit: df.select(*on, F.lit(bit).alias("_in"))
+    each = side(left, 1).unionByName(side(right, 2)).groupBy(*on).agg(F.bit_or("_in").alias("_in"))
+    names = {"both": 3, "only_a": 1, "only_b": 2}
+    counts = each.agg(*[F.count_if(F.col("_in") == bit).alias(n) for n, bit in names.items()])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("which"), F.col(n).alias("n")) for n in names])).alias("s")).select("s.*")
+
+
+def coder_pairs(project: Project) -> DataFrame:
+    """(coder_a, coder_b, code_id, both, only_a, only_b, neither, agree, kappa, band) of all pairs of coders.
+
+    As ``kappa_by_code``, for every two coders, in name order, that touched a common excerpt.
+    An excerpt is reduced to who touched it and, per code, who put it there.  Equal
+    combinations are counted before pairs are formed, so pairs cost by the number of
+    different combinations and not by excerpts.
+    """
+    marks = F.array_sort(F.collect_set(F.struct("code_id", "coder")))
+    per = _named(project).groupBy("excerpt_id").agg(marks.alias("_m"), F.array_sort(F.collect_set("coder")).alias("who")).where("size(who) > 1")
+    names = lambda code: F.transform(F.filter("_m", lambda m: m["code_id"].eqNullSafe(code)), lambda m: m["coder"])
+    put = F.transform(F.array_distinct(F.col("_m.code_id")), lambda c: F.struct(c.alias("code_id"), names(c).alias("by")))
+    pair = F.explode(
+        F.flatten(F.transform("who", lambda a: F.transform(F.filter("who", lambda b: b > a), lambda b: F.struct(a.alias("coder_a"), b.alias("coder_b")))))
+    ).alias("p")
+    two = ["coder_a", "coder_b"]
+    shared = per.groupBy("who").agg(F.count(F.lit(1)).alias("n")).select(pair, "n").groupBy("p.coder_a", "p.coder_b").agg(F.sum("n").alias("shared"))
+    words = per.select("who", F.explode(put).alias("c")).groupBy("who", "c.code_id", "c.by").agg(F.count(F.lit(1)).alias("n"))
+    a, b = F.array_contains("by", F.col("p.coder_a")), F.array_contains("by", F.col("p.coder_b"))
+    sum_if = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0).cast("long"))
+    tally = words.select(pair, "code_id", "by", "n").where(a | b).groupBy(F.col("p.coder_a"), F.col("p.coder_b"), "code_id").agg(
+        sum_if(a & b).alias("both"), sum_if(a & ~b).alias("only_a"), sum_if(~a & b).alias("only_b")
+    )
+    full = tally.join(shared, two).withColumn("neither", F.col("shared") - F.col("both") - F.col("only_a") - F.col("only_b"))
+    k = kappa(F.col("both"), F.col("only_a"), F.col("only_b"), F.col("neither"))
+    return full.withColumn("kappa", k).select(
+        *two, "code_id", "both", "only_a", "only_b", "neither",
+        ((F.col("both") + F.col("neither")) / F.col("shared")).alias("agree"), "kappa", kappa_band(F.col("kappa")).alias("band"),
+    )
+
+
 def kappa_order(kappas: DataFrame) -> DataFrame:
     """``kappas`` with ``place``: lowest agreement first, undefined last, ties by code."""
     keyed = kappas.withColumn("_none", F.col("kappa").isNull())

@@ -552,6 +552,17 @@ star("set_operations", """
 select 'both' as which, count(*) as n from touched where by_a and by_b union all select 'only_a', count(*) from touched where not by_b
 union all select 'only_b', count(*) from touched where not by_a
 """, **FLAGS)
+star("coder_pairs", f"""
+select coder_a, coder_b, code_id, nboth as "both", only_a, only_b, neither, round(po, 6) as agree, round(kappa, 6) as kappa, {BAND.format(k='kappa')} as band
+from (select *, case when pe < 1 then (po - pe) / (1 - pe) end kappa from (
+ select *, (nboth + neither)::double / n po, ((nboth + only_a)::double / n) * ((nboth + only_b)::double / n) + ((only_b + neither)::double / n) * ((only_a + neither)::double / n) pe from (
+  select *, n - nboth - only_a - only_b neither from both_of join (select coder_a, coder_b, count(*) n from met group by all) using (coder_a, coder_b))))
+""", named="select distinct excerpt_id, code_id, concat(coder, cast(ord % 3 as varchar)) coder from codings",
+    who="select distinct excerpt_id, coder from named",
+    met="select a.excerpt_id, a.coder coder_a, b.coder coder_b from who a join who b on a.excerpt_id = b.excerpt_id and a.coder < b.coder",
+    both_of="""select coder_a, coder_b, code_id, count(*) filter (a and b) nboth, count(*) filter (a and not b) only_a, count(*) filter (b and not a) only_b from (
+      select coder_a, coder_b, m.excerpt_id, code_id, bool_or(coder = coder_a) a, bool_or(coder = coder_b) b
+      from met m join named d on m.excerpt_id = d.excerpt_id and d.coder in (coder_a, coder_b) group by all) group by all""")
 star("valence_agreement", f"""
 select same, pairs, {pct('same', 'pairs', 0)} as share from (
  select count(*) filter (va = vb) same, count(*) pairs from (

@@ -623,11 +623,14 @@ def overlap_sets(p):
 def set_operations(p):
     """Excerpts of each coder as sets: shared, and of one coder only."""
     of = lambda who: p.codings.where(F.col("coder") == who).select("excerpt_id")
-    named = lambda df, which: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(which).alias("which"), "n")
-    return (
-        named(of(A).intersect(of(B)), "both").unionByName(named(of(A).exceptAll(of(A).intersect(of(B))).distinct().join(of(B), "excerpt_id", "left_anti"), "only_a"))
-        .unionByName(named(of(B).distinct().join(of(A), "excerpt_id", "left_anti"), "only_b"))
-    )
+    return au.set_operations(of(A), of(B), ["excerpt_id"])
+
+
+@star_query
+def coder_pairs(p):
+    """Agreement of all pairs among six coders."""
+    k = au.coder_pairs(p.with_(codings=p.codings.withColumn("coder", F.concat("coder", (F.col("ord") % 3).cast("string")))))
+    return k.select("coder_a", "coder_b", "code_id", "both", "only_a", "only_b", "neither", F.round("agree", 6).alias("agree"), F.round("kappa", 6).alias("kappa"), "band")
 
 
 @star_query
