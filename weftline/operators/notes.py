@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import strip
+from weftline.operators.ordered import global_ordinal
 from weftline.operators.statistics import codings_excerpts, plays
 from weftline.project import Project, blank
 from weftline.schema import UNCATEGORISED
@@ -75,11 +76,57 @@ def notes_by_code(project: Project) -> DataFrame:
     )
 
 
+def _noted_codes(project: Project) -> DataFrame:
+    """(lens, code_id, plays, notes, _most), one row per annotated code; ``_most`` orders by plays, most first."""
+    codes = notes_by_code(project).groupBy("lens", "code_id").agg(F.max("plays").alias("plays"), F.count(F.lit(1)).alias("notes"))
+    return codes.withColumn("_most", -F.col("plays"))
+
+
+def notes_places(project: Project) -> DataFrame:
+    """(lens, place, within, code_id, plays, notes): annotated codes in the order they are read.
+
+    Lenses come in the order of their first code, codes of most frame rows first, ties by
+    code id; ``within`` counts a lens' codes from 1.  One row per annotated code.
+    """
+    codes = _noted_codes(project)
+    lead = codes.groupBy("lens").agg(F.min(F.struct("_most", "code_id")).alias("_l"))
+    led = codes.join(lead.select("lens", F.col("_l._most").alias("_lm"), F.col("_l.code_id").alias("_lc")), "lens")
+    within = Window.partitionBy("lens").orderBy("_most", "code_id")
+    return global_ordinal(led, ["_lm", "_lc", "lens", "_most", "code_id"]).select(
+        "lens", F.col("place").cast("long").alias("place"), F.row_number().over(within).cast("long").alias("within"), "code_id", "plays", "notes"
+    )
+
+
 def notes_by_lens(project: Project) -> DataFrame:
-    """(lens, codes, notes): how many annotated codes and notes each lens has."""
-    return notes_by_code(project).groupBy("lens").agg(
-        F.count_distinct("code_id").alias("codes"), F.count(F.lit(1)).alias("notes")
+    """(lens, place, codes, notes): how many annotated codes and notes each lens has, in code rank order."""
+    lenses = _noted_codes(project).groupBy("lens").agg(
+        F.min(F.struct("_most", "code_id")).alias("_l"), F.count(F.lit(1)).alias("codes"), F.sum("notes").alias("notes")
+    ).select("lens", "codes", "notes", F.col("_l._most").alias("_lm"), F.col("_l.code_id").alias("_lc"))
+    return global_ordinal(lenses, ["_lm", "_lc"]).select("lens", F.col("place").cast("long").alias("place"), "codes", "notes")
+
+
+def notes_haystack(project: Project) -> DataFrame:
+    """(section, lens, key, ref, hay): lower-cased text that a search of the notes looks through.
+
+    One row per note with its whole passage: ``coding`` notes under their code (ref: the
+    excerpt), ``standing`` ones under their category (ref: the note's id).  A key matches
+    when one of its rows does.
+    """
+    about = project.codes.groupBy("code_id").agg(
+        F.max(F.coalesce("name", F.lit(""))).alias("name"), F.max(F.coalesce("definition", F.lit(""))).alias("definition")
+    )
+    hay = lambda *parts: F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in parts])).alias("hay")
+    coding = notes_by_code(project).join(about, "code_id", "left").select(
+        F.lit("coding").alias("section"), "lens", F.col("code_id").alias("key"), F.col("excerpt_id").alias("ref"),
+        hay("code_id", "name", "definition", "note", "text"),
+    )
+    if project.notes is None:
+        return coding
+    standing = notes_evidence(project, keep=("title", "note")).select(
+        F.lit("standing").alias("section"), F.lit("").alias("lens"), F.col("category").alias("key"), F.col("note_id").alias("ref"),
+        hay("category", "note_id", "title", "note", "quote"),
     )
+    return coding.unionByName(standing)
 
 
 def _category():
@@ -91,8 +138,8 @@ def note_categories(project: Project) -> DataFrame:
     return project.notes.groupBy(_category().alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def notes_evidence(project: Project) -> DataFrame:
-    """Standing notes with the excerpt or source their evidence names, if either exists."""
+def notes_evidence(project: Project, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Standing notes, with the columns ``keep``, and the excerpt or source their evidence names, if either exists."""
     n = project.notes.withColumn("evidence", strip(F.coalesce("evidence", F.lit(""))))
     x = project.excerpts.select(
         F.col("excerpt_id").alias("evidence"), strip(F.coalesce("text", F.lit(""))).alias("x_text"),
@@ -109,5 +156,5 @@ def notes_evidence(project: Project) -> DataFrame:
         strip(F.coalesce("note_id", F.lit(""))).alias("note_id"), _category().alias("category"), "evidence",
         F.coalesce(F.when(in_x, F.col("x_text")), F.when(in_s, F.col("s_text")), F.lit("")).alias("quote"),
         F.when(in_x, F.concat(F.lit("PID"), "x_pid")).when(in_s, named)
-        .when(F.col("evidence") != "", F.lit("not found")).otherwise(F.lit("")).alias("where"),
+        .when(F.col("evidence") != "", F.lit("not found")).otherwise(F.lit("")).alias("where"), *keep,
     )

@@ -89,6 +89,9 @@ select coder, count(*) as n, count(distinct excerpt_id) as excerpts, count(*) fi
        count(*) as no_row from codings group by coder
 """)
 plain("scan_sheets", "select quote, code, valence, note, '' as pid, unit, true as numbered from sheet", sheet=expand(ad.SHEET))
+plain("sheet_columns", """
+select * from (values ('Quotation', 'quote'), ('CODES', 'code'), ('Direction', 'valence'), ('my-notes', ''), ('Memo', 'note'), ('Game', 'unit')) t("column", field)
+""")
 plain("scan_tables_dir", """
 select "column", count(*) as n, count(distinct value) as distinct_values, min(value) as least from (
   select 'c_name' as "column", c_name as value from customer union all select 'c_mktsegment', c_mktsegment from customer
@@ -185,7 +188,8 @@ select sheet_row, case when bad = '' then all_codes else '' end as code_ids,
 plain("quote_min_length", f"""
 select sheet_row, case when length(nq) >= 8 then nq else '' end as nq,
        case when length(nq) >= 8 then '' else 'quote too short to place reliably' end as reason
-from (select sheet_row, {fold('substring(quote, 1, 2 + sheet_row % 12)')} nq from sheet)
+from (select sheet_row, {fold('quote')} nq from (
+ select sheet_row, quote from sheet union all select -sheet_row, substring(quote, 1, 2 + sheet_row % 12) from sheet))
 """, sheet=expand(ad.SHEET))
 plain("code_id_format", """
 select distinct code_id, violation from (
@@ -304,15 +308,22 @@ select excerpt_id, case when s.source_id is null then 'missing'
 from broken x left join sources s on x.source_id = s.source_id
 """, broken="""select excerpt_id, case when start % 11 = 0 then 'S-gone' else source_id end source_id, start,
   case when start % 11 = 1 then end_ + 100000 else end_ end end_, case when start % 11 = 2 then 'changed' else text end as text from excerpts""")
-HOLED = dict(holed="select * from frame where docs <> '2' union all select pid, concat(unit, '-later'), quality, toxic, chars, docs from frame where docs = '1'")
-text("frame_without_source", "select pid, unit from holed except select pid, unit from sources", **HOLED)
+HOLED = dict(
+    holed="select * from frame union all select pid, concat(unit, '-later'), quality, toxic, chars, docs from frame where docs = '1'",
+    heard="""select source_id, pid, unit, text from sources union all
+      select concat('Z-', pid, '-', unit), pid, concat(unit, '-astray'), 'an answer to nothing' from frame where docs = '2'""",
+)
+text("frame_without_source", "select pid, unit from holed except select pid, unit from heard", **HOLED)
 text("source_outside_frame", """
 select pid, unit, n, case when unit = '' then 'unitless' else 'real' end as class
-from (select pid, unit, count(*) n from sources group by pid, unit) s where not exists (select 1 from holed h where h.pid = s.pid and h.unit = s.unit)
+from (select pid, unit, count(*) n from heard group by pid, unit) s where not exists (select 1 from holed h where h.pid = s.pid and h.unit = s.unit)
 """, **HOLED)
 text("orphan_codes", "select code_id, count(*) as n from codings where code_id not in (select code_id from codes) group by code_id")
 text("unused_codes", "select code_id from codes where code_id not in (select code_id from codings)")
-star("silent_participants", "select distinct cast(o_custkey as varchar) as pid from orders where cast(o_custkey as varchar) not in (select pid from coded where valence = 'neutral')")
+star("silent_participants", """
+select distinct pid from (select cast(o_custkey as varchar) pid from orders union all select concat(o_custkey, '-late') from orders where o_orderpriority = '1-URGENT')
+where pid not in (select pid from coded)
+""")
 plain("register_resolve", "select old_id, new_id from resolved", **REGISTER)
 plain("retire_map", """
 select coalesce(nullif(r.new_id, ''), c.code_id) as code_id, count(*) as n
@@ -403,22 +414,28 @@ select code_id, valence, n, total, {pct('n', 'total')} as share, declared from (
   select d.code_id, d.valence, count(*) n, cast(sum(count(*)) over (partition by d.code_id) as bigint) total, any_value(k.valence) declared
   from coded d join ranked r on d.code_id = r.code_id and r.rank <= 15 join codes k on d.code_id = k.code_id group by d.code_id, d.valence)
 """)
-star("split", f"""
-select code_id, value, hits, denom, pct, round_even(max(pct) over (partition by code_id) - min(pct) over (partition by code_id), 1) as gap from (
-  select r.code_id, g.value, coalesce(h.hits, 0) hits, g.denom, {pct('coalesce(h.hits, 0)', 'g.denom')} pct
-  from ranked r cross join (select priority value, count(*) denom from frame group by priority) g
-  left join (select code_id, priority value, count(*) hits from hits h join frame f on h.pid = f.pid and h.unit = f.unit group by 1, 2) h
-  on r.code_id = h.code_id and g.value = h.value where r.rank <= 15)
-""")
-star("measures", """
-select code_id, measure, round_even(mw, 2) as mean_with, round_even(mo, 2) as mean_without, round_even(mw - mo, 2) as diff, n from (
+def split_sql(by, top):
+    return f"""
+select code_id, value, hits, denom, pct, rank, round_even(max(pct) over (partition by code_id) - min(pct) over (partition by code_id), 1) as gap from (
+  select r.code_id, r.rank, g.value, coalesce(h.hits, 0) hits, g.denom, {pct('coalesce(h.hits, 0)', 'g.denom')} pct
+  from ranked r cross join (select {by} value, count(*) denom from frame group by {by}) g
+  left join (select code_id, {by} value, count(*) hits from hits h join frame f on h.pid = f.pid and h.unit = f.unit group by 1, 2) h
+  on r.code_id = h.code_id and g.value = h.value where r.rank <= {top})"""
+
+
+star("split", f"select code_id, value, hits, denom, pct, gap from ({split_sql('priority', 15)})")
+star("figure", f"select code_id, value, hits, denom, pct, gap from ({split_sql('status', 5)})")
+star("order_by_gap", f"select code_id, value, gap, cast(row_number() over (order by gap desc, rank, value) as int) as place from ({split_sql('status', 15)})")
+MEASURED = """
+select code_id, measure, round_even(mw, 2) as mean_with, round_even(mo, 2) as mean_without, round_even(mw - mo, 2) as diff, n, rank, slot from (
   select r.code_id, r.rank, m.measure, m.slot, count(*) filter (h.pid is not null) n, count(*) filter (h.pid is null) o,
          avg(v) filter (h.pid is not null) mw, avg(v) filter (h.pid is null) mo
   from (select * from ranked where rank <= 12) r
   cross join (select pid, unit, 'price' measure, 0 slot, cast(price as double) v from frame union all select pid, unit, 'score', 1, cast(score as double) from frame) m
   left join hits h on h.code_id = r.code_id and h.pid = m.pid and h.unit = m.unit group by all)
-where n >= 5 and o >= 5 order by abs(round_even(mw - mo, 2)) desc, rank, slot limit 14
-""")
+where n >= 5 and o >= 5 order by abs(round_even(mw - mo, 2)) desc, rank, slot limit 14"""
+star("measures", f"select code_id, measure, mean_with, mean_without, diff, n from ({MEASURED})")
+star("order_by_abs_diff", f"select code_id, measure, diff, cast(row_number() over (order by abs(diff) desc, rank, slot) as int) as place from ({MEASURED})")
 star("dependence", """
 select d.code_id, kind, count(*) as n, cast(sum(count(*)) over (partition by d.code_id) as bigint) as total
 from coded d join ranked r on d.code_id = r.code_id and r.rank <= 15 group by d.code_id, kind
@@ -502,20 +519,23 @@ star("dominance", """
 select pid, n, round_even(100.0::double * n / (select count(*) from codings), 1) as share, 100.0::double * n / (select count(*) from codings) > 25 as flag
 from (select pid, count(*) n from coded group by pid) order by n desc, pid limit 1
 """)
-text("duplicate_passages", f"select lower({strip('left(text, 4)')}) as text, count(*) as n from excerpts where {strip('left(text, 4)')} <> '' group by 1 having count(*) > 1")
+text("duplicate_passages", f"""
+select lower({strip('text')}) as text, count(*) as n from (select text from excerpts union all select concat(' ', text, chr(10)) from excerpts where start % 7 = 0)
+where {strip('text')} <> '' group by 1 having count(*) > 1
+""")
 text("no_lens_codes", "select code_id from codes where lens = ''")
 text("audit_report", f"""
 select "check", severity, count(*) as n, string_agg(item, '; ' order by item) filter (r <= 5) as examples from (
  select *, row_number() over (partition by "check" order by item) r from (
-  select 'empty_sources' as "check", 'problem' severity, source_id item from sources where {words('text')} = 0
-  union all select 'tiny_sources', 'note', source_id from sources where {words('text')} between 1 and 2
-  union all select 'frame_without_source', 'problem', concat(pid, '/', unit) from (select pid, unit from holed except select pid, unit from sources)
-  union all select 'source_outside_frame', 'problem', concat(pid, '/', unit) from (select distinct pid, unit from sources where unit <> '' except select pid, unit from holed)
+  select 'empty_sources' as "check", 'problem' severity, source_id item from heard where {words('text')} = 0
+  union all select 'tiny_sources', 'note', source_id from heard where {words('text')} between 1 and 2
+  union all select 'frame_without_source', 'problem', concat(pid, '/', unit) from (select pid, unit from holed except select pid, unit from heard)
+  union all select 'source_outside_frame', 'problem', concat(pid, '/', unit) from (select distinct pid, unit from heard where unit <> '' except select pid, unit from holed)
   union all select 'duplicate_passages', 'note', t from (select lower({strip('text')}) t from excerpts group by 1 having count(*) > 1) where t <> ''
   union all select 'orphan_codes', 'problem', code_id from (select distinct code_id from codings where code_id not in (select code_id from codes))
   union all select 'unused_codes', 'note', code_id from codes where code_id not in (select code_id from codings)
   union all select 'no_lens_codes', 'note', code_id from codes where lens = ''
-  union all select 'silent_participants', 'note', pid from (select distinct pid from sources where pid not in (select pid from coded))))
+  union all select 'silent_participants', 'note', pid from (select distinct pid from heard where pid not in (select pid from coded))))
 group by "check", severity
 """, **HOLED)
 FLAGS = dict(
@@ -648,7 +668,24 @@ NOTED = dict(noted="""select case when coalesce(k.lens, '') = '' then 'Uncategor
   concat_ws(' · ', concat('PID', coalesce(x.pid, '?')), nullif(x.unit, ''), nullif(x.kind, '')) place
   from codings c left join excerpts x on c.excerpt_id = x.excerpt_id left join codes k on c.code_id = k.code_id left join ranked r on c.code_id = r.code_id where c.note <> ''""")
 text("notes_by_code", 'select lens, code_id, plays, excerpt_id, coder, valence, note, place as "where" from noted', **NOTED)
-text("notes_by_lens", "select lens, count(distinct code_id) as codes, count(*) as notes from noted group by lens", **NOTED)
+text("notes_by_lens", """
+select lens, row_number() over (order by min(r)) as place, count(*) as codes, cast(sum(n) as bigint) as notes from (
+ select lens, code_id, count(*) n, row_number() over (order by max(plays) desc, code_id) r from noted group by lens, code_id) group by lens
+""", **NOTED)
+text("notes_places", """
+select lens, row_number() over (order by first, place) as place, row_number() over (partition by lens order by place) as within, code_id, plays, n as notes from (
+ select *, min(place) over (partition by lens) first from (
+  select lens, code_id, max(plays) plays, count(*) n, row_number() over (order by max(plays) desc, code_id) place from noted group by lens, code_id))
+""", **NOTED)
+text("notes_search", f"""
+select 'coding' as section, n.lens, n.code_id as key, n.excerpt_id as ref,
+ md5(lower(concat_ws(' ', n.code_id, coalesce(k.name, ''), coalesce(k.definition, ''), n.note, coalesce({strip('x.text')}, '')))) as hay
+from noted n left join excerpts x on n.excerpt_id = x.excerpt_id left join codes k on n.code_id = k.code_id
+union all
+select 'standing', '', category, note_id, md5(lower(concat_ws(' ', category, note_id, title, note, coalesce({strip('x.text')}, {strip('s.text')}, '')))) from (
+ select note_id, title, note, evidence, case when category = '' then 'Uncategorised' else category end category from notes) n
+left join excerpts x on n.evidence = x.excerpt_id left join sources s on n.evidence = s.source_id
+""", **NOTED)
 text("note_categories", "select case when category = '' then 'Uncategorised' else category end as category, count(*) as n from notes group by 1")
 star("lens_for_prefix", LENS_FOR_PREFIX.format(codes="cut"), cut=r"select regexp_replace(code_id, '^BRD-(\d)\d', 'BRD\1-') code_id, lens from codes")
 star("code_refs", r"""
@@ -750,6 +787,7 @@ select excerpt_id, cast(start + length(left(s.text, start)) - length(replace(lef
 
 NEXT = dict(nxt="select excerpt_id, 'TXT-1' code_id, valence, 'ann' coder, note from codings where coder = 'jb'")
 text("file_upsert_coder", "select excerpt_id, code_id, valence, coder, note from codings where coder <> 'ann' union all select * from nxt", **NEXT)
+text("file_upsert_disk", "select * from nxt", **NEXT)
 text("excerpt_merge", """
 select excerpt_id, case when excerpt_id in (select excerpt_id from nxt) then 'new' else label end as label, start, end_ as "end" from excerpts
 where excerpt_id in (select excerpt_id from nxt) or excerpt_id in (select excerpt_id from codings where coder = 'ann')
@@ -778,6 +816,7 @@ MERGED = dict(
 )
 star("code_merge", "select excerpt_id, code_id, coder, valence from (select *, row_number() over (partition by excerpt_id, code_id, coder order by ord, valence) r from moved) where r = 1", **MERGED)
 star("code_merge_register", "select code_id, '' as new_id from codes where code_id not in (select old_id from merges) union all select old_id, new_id from retired union all select old_id, new_id from merges", **MERGED)
+star("code_merge_dates", "select old_id, date from retired where old_id not in (select old_id from merges) union all select old_id, current_date from merges", **MERGED)
 star("code_retire", "select code_id, count(*) as stranded from (select distinct excerpt_id, code_id, coder from codings) where code_id in (select old_id from merges) group by code_id", **MERGED)
 
 # ---------------------------------------------------------------- building and transcripts
@@ -793,7 +832,8 @@ plain("build_frame", """
 select source as pid, lang as unit, arg_min(cast(n_chars as varchar), doc_id) as size, arg_min(cast(doc_id as varchar), doc_id) as "Response" from documents group by 1, 2
 """)
 text("has_kind_flag", """
-select pid, unit, case when pid in (select pid from sources where kind = 'interview' and cast(pid as int) % 3 <> 0) then 'yes' else 'no' end as has_interview from frame
+select pid, unit, case when pid in (select pid from sources where kind = 'interview') then 'yes' else 'no' end as has_interview
+from (select pid, unit from frame union all select concat(pid, '-b'), unit from frame where docs = '1')
 """)
 CUES = dict(cues=expand(ad.CUES), roster=expand(ad.ROSTER))
 plain("transcript_parse", f"""

@@ -27,7 +27,8 @@ from weftline.operators import valence as va
 from weftline.operators.ordered import row_numbers, shared_folder
 from weftline.plans import adapters as ad
 from weftline.plans.adapters import derive, given, raw_cells, star_project, text_project
-from weftline.sources import scan_project, scan_sheets, scan_tables_dir, scan_transcripts, sink_tables
+from weftline.schema import CODINGS
+from weftline.sources import replace_coder, scan_project, scan_sheets, scan_tables_dir, scan_transcripts, sheet_columns, sink_tables
 
 QUERIES = {}
 A, B = "ann", "jb"
@@ -93,13 +94,22 @@ def sink_tables_(spark, sf):
 
 @query
 def scan_sheets_(spark, sf):
+    return scan_sheets(spark, written_sheets(spark, sf)).select("quote", "code", "valence", "note", "pid", "unit", (F.col("sheet_row") >= 2).alias("numbered"))
+
+
+@query
+def sheet_columns_(spark, sf):
+    return sheet_columns(spark, written_sheets(spark, sf)).select("column", "field").distinct()
+
+
+def written_sheets(spark, sf):
     path = scratch(spark)
     sheet = derive(spark, sf, ad.SHEET).select(
         F.col("quote").alias("Quotation"), F.col("code").alias("CODES"), F.col("valence").alias("Direction "),
         F.col("note").alias("my-notes"), F.col("note").alias("Memo"), F.col("unit").alias("Game"),
     )
     sheet.repartition(2, "Memo").write.option("header", True).option("sep", ";").option("escape", '"').csv(path)
-    return scan_sheets(spark, path).select("quote", "code", "valence", "note", "pid", "unit", (F.col("sheet_row") >= 2).alias("numbered"))
+    return path
 
 
 @query
@@ -225,8 +235,9 @@ def code_known_gate(spark, sf):
 
 @query
 def quote_min_length(spark, sf):
-    cut = derive(spark, sf, ad.SHEET).withColumn("quote", F.expr("substring(quote, 1, 2 + sheet_row % 12)"))
-    ok, bad = fi.quote_min_length(cut)
+    sheet = derive(spark, sf, ad.SHEET)
+    short = sheet.withColumn("quote", F.expr("substring(quote, 1, 2 + sheet_row % 12)")).withColumn("sheet_row", -F.col("sheet_row"))
+    ok, bad = fi.quote_min_length(sheet.unionByName(short))
     return ok.select("sheet_row", "nq", F.lit("").alias("reason")).unionByName(bad.select("sheet_row", F.lit("").alias("nq"), "reason"))
 
 
@@ -348,9 +359,13 @@ def excerpts_sources(p):
 
 
 def holed(p):
-    """The frame with some rows nobody answered for, and without some that were."""
+    """With frame rows added that nobody answered for, and sources that no frame row is about."""
     ghosts = p.frame.withColumn("unit", F.concat("unit", F.lit("-later"))).where("docs = '1'")
-    return p.with_(frame=p.frame.where("docs <> '2'").unionByName(ghosts))
+    strays = p.frame.where("docs = '2'").select(
+        F.concat(F.lit("Z-"), "pid", F.lit("-"), "unit").alias("source_id"), "pid", F.concat("unit", F.lit("-astray")).alias("unit"),
+        F.lit("survey").alias("kind"), F.lit("").alias("label"), F.lit("an answer to nothing").alias("text"),
+    )
+    return p.with_(frame=p.frame.unionByName(ghosts), sources=p.sources.unionByName(strays))
 
 
 @text_query
@@ -375,7 +390,8 @@ def unused_codes(p):
 
 @star_query
 def silent_participants(p):
-    return au.silent_participants(p.with_(codings=p.codings.where("valence = 'neutral'")))
+    late = p.sources.where("label = '1-URGENT'").withColumn("pid", F.concat("pid", F.lit("-late")))
+    return au.silent_participants(p.with_(sources=p.sources.unionByName(late)))
 
 
 @query
@@ -473,6 +489,22 @@ def measures(p):
     return st.measures(p)
 
 
+@star_query
+def order_by_gap(p):
+    return st.split_places(p, "status").select("code_id", "value", "gap", "place")
+
+
+@star_query
+def order_by_abs_diff(p):
+    return st.measures_places(p)
+
+
+@star_query
+def figure(p):
+    """A figure asked for by its name."""
+    return st.figure(p, "split", by="status", top=5)
+
+
 @star_query
 def dependence(p):
     return st.dependence(p)
@@ -556,7 +588,8 @@ def dominance(p):
 
 @text_query
 def duplicate_passages(p):
-    return au.duplicate_passages(p.with_(excerpts=p.excerpts.withColumn("text", F.left("text", F.lit(4)))))
+    again = p.excerpts.where("start % 7 = 0").withColumn("text", F.concat(F.lit(" "), "text", F.lit("\n")))
+    return au.duplicate_passages(p.with_(excerpts=p.excerpts.unionByName(again)))
 
 
 @text_query
@@ -727,6 +760,16 @@ def notes_by_lens(p):
     return no.notes_by_lens(p)
 
 
+@text_query
+def notes_places(p):
+    return no.notes_places(p)
+
+
+@text_query
+def notes_search(p):
+    return no.notes_haystack(p).select("section", "lens", "key", "ref", F.md5("hay").alias("hay"))
+
+
 @text_query
 def note_categories(p):
     return no.note_categories(p)
@@ -881,6 +924,16 @@ def file_upsert_coder(p):
     return fi.file_upsert_coder(p.codings, second_filing(p), "ann").select("excerpt_id", "code_id", "valence", "coder", "note")
 
 
+@query
+def file_upsert_disk(spark, sf):
+    """What is stored after one coder's filing was replaced by nothing and the other's by a new one."""
+    p, path = text_project(spark, sf), scratch(spark)
+    sink_tables(p.codings, path, [f for f in CODINGS.fieldNames() if f != "sheet_row"], partition_by="coder")
+    replace_coder(second_filing(p), path, "ann")
+    replace_coder(p.codings.limit(0), path, "jb")
+    return spark.read.parquet(path).select("excerpt_id", "code_id", "valence", "coder", "note")
+
+
 @text_query
 def excerpt_merge(p):
     new_ids = second_filing(p).select("excerpt_id").distinct()
@@ -921,6 +974,12 @@ def code_merge_register(spark, sf):
     return codes.select("code_id", F.lit("").alias("new_id")).unionByName(retired.select(F.col("old_id").alias("code_id"), "new_id"))
 
 
+@query
+def code_merge_dates(spark, sf):
+    _, _, retired = cb.code_merge(star_project(spark, sf), derive(spark, sf, ad.MERGES), STAR_ORDER)
+    return retired.select("old_id", "date")
+
+
 @query
 def code_retire(spark, sf):
     p = star_project(spark, sf)
@@ -953,8 +1012,8 @@ def build_frame(spark, sf):
 
 @text_query
 def has_kind_flag(p):
-    sources = p.sources.where("kind = 'survey' or cast(pid as int) % 3 <> 0")
-    return bu.has_kind_flag(p.frame, sources).select("pid", "unit", "has_interview")
+    asked = p.frame.unionByName(p.frame.where("docs = '1'").withColumn("pid", F.concat("pid", F.lit("-b"))))
+    return bu.has_kind_flag(asked, p.sources).select("pid", "unit", "has_interview")
 
 
 @query

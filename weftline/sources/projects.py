@@ -96,6 +96,30 @@ def sink_tables(
     _swap(df.sparkSession, staging, path)
 
 
+def replace_coder(codings: DataFrame, path: str, coder: str, fmt: str = "parquet") -> None:
+    """Store ``codings`` as all that ``coder`` has filed in the table at ``path``; others' rows stay.
+
+    The table is one that ``sink_tables`` wrote with ``partition_by="coder"``.  The partition
+    is named and not found in the data, so a filing of nothing leaves the coder with nothing.
+    ``codings`` must not read ``path``.  Only that partition is written; a failed job can
+    leave it empty and is run again.
+    """
+    spark, name = codings.sparkSession, f"filed_{uuid.uuid4().hex}"
+    stored = spark.read.format(fmt).load(path)
+    fields = [f for f in stored.schema if f.name != "coder"]
+    shaped = codings.select(
+        *[(F.col(f.name) if f.name in codings.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
+    ).na.fill("")
+    columns = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["coder string"])
+    quoted = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    spark.sql(f"create table {name} ({columns}) using {fmt} partitioned by (coder) location {quoted(path)}")
+    try:
+        spark.sql(f"insert overwrite table {name} partition (coder = {quoted(coder)}) select * from {{rows}}", rows=shaped)
+    finally:
+        spark.sql(f"drop table {name}")
+    spark.catalog.refreshByPath(path)
+
+
 def _swap(spark: SparkSession, staging: str, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     to = lambda p: hadoop.Path(p)
