@@ -275,11 +275,11 @@ def compared_coders(project: Project, other: str | None = None) -> tuple[str, st
     names = [r[0] for r in _named(project).select("coder").distinct().orderBy("coder").limit(2).collect()]
     if other is None:
         if len(names) < 2:
-            raise ValueError("only one coder, so there is nothing to compare")
+            raise ValueError("a comparison needs two coders")
         return names[0], names[1]
     first = [n for n in names if n != other]
     if not first:
-        raise ValueError("only one coder, so there is nothing to compare")
+        raise ValueError("a comparison needs two coders")
     return first[0], other
 
 

@@ -118,13 +118,13 @@ def code_merge(
         [
             pairs.where(old == new).select(F.concat(old, F.lit(": a code cannot be merged into itself"))),
             pairs.join(known, new == F.col("code_id"), "left_anti").select(
-                F.concat(new, F.lit(" is not in the codebook"))
+                F.concat(F.lit("code_undefined: "), new)
             ),
             pairs.join(pairs.select(old.alias("o")), new == F.col("o"), "left_semi").select(
-                F.concat(new, F.lit(" is merged away by the same table"))
+                F.concat(F.lit("target_merged_too: "), new)
             ),
             pairs.join(known.unionByName(used), old == F.col("code_id"), "left_anti").select(
-                F.concat(F.lit("no code called "), old)
+                F.concat(F.lit("code_undefined: "), old)
             ),
         ]
     )
@@ -142,13 +142,13 @@ def code_retire(
     known = project.codes.select("code_id").unionByName(project.codings.select("code_id")).distinct()
     checks = [
         pairs.join(known, F.col("old_id") == F.col("code_id"), "left_anti").select(
-            F.concat(F.lit("no code called "), F.col("old_id"))
+            F.concat(F.lit("code_undefined: "), F.col("old_id"))
         )
     ]
     if not force:
         checks.append(
             pairs.join(project.codings, F.col("old_id") == F.col("code_id"), "left_semi").select(
-                F.concat(F.col("old_id"), F.lit(" still has codings"))
+                F.concat(F.lit("code_in_use: "), F.col("old_id"))
             )
         )
     _checked(checks)

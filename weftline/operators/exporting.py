@@ -182,8 +182,8 @@ def export_check(project: Project, merge: bool = True, parts: DataFrame | None =
     x = project.excerpts.select("excerpt_id", "source_id", "start", "end", "text")
     first = with_cut(x, project.sources, name="_cut").join(text_sizes(project.sources), "source_id", "left").select(
         "excerpt_id", "source_id", "start", "end", "text",
-        F.when(F.col("size").isNull(), F.concat(F.lit("no source "), "source_id"))
-        .when(F.col("_cut") != F.col("text"), F.lit("text does not match its offsets")).alias("problem"),
+        F.when(F.col("size").isNull(), F.concat(F.lit("source_missing: "), "source_id"))
+        .when(F.col("_cut") != F.col("text"), F.lit("text_drift")).alias("problem"),
     )
     good = first.where("problem is null").drop("problem")
     placed = good.join(parts.select("source_id", "doc_id", (F.col("shift") - F.col("start")).alias("_move")), "source_id").select(
@@ -192,7 +192,7 @@ def export_check(project: Project, merge: bool = True, parts: DataFrame | None =
     landed = with_cut(placed, parts, "piece", "_cut")
     lands = (F.col("start") >= 0) & (F.col("_cut") == F.col("text"))
     wide = project.sources.where(has_wide("text")).select(
-        F.col("source_id").alias("object_id"), F.lit("characters beyond the basic plane").alias("problem")
+        F.col("source_id").alias("object_id"), F.lit("wide_characters").alias("problem")
     )
     by_code = project.codings.join(project.codes.select("code_id"), "code_id", "left_anti").select("code_id").distinct()
     by_excerpt = project.codings.join(project.excerpts.select("excerpt_id"), "excerpt_id", "left_anti").select("excerpt_id").distinct()
@@ -202,10 +202,10 @@ def export_check(project: Project, merge: bool = True, parts: DataFrame | None =
             first.where("problem is not null").select(F.col("excerpt_id").alias("object_id"), "problem"),
             landed.where(~lands).select(
                 F.col("excerpt_id").alias("object_id"),
-                F.concat(F.lit("offsets do not land in "), "doc_id").alias("problem"),
+                F.concat(F.lit("span_misplaced: "), "doc_id").alias("problem"),
             ),
-            by_code.select(F.col("code_id").alias("object_id"), F.lit("coding refers to unknown code").alias("problem")),
-            by_excerpt.select(F.col("excerpt_id").alias("object_id"), F.lit("coding refers to unknown excerpt").alias("problem")),
+            by_code.select(F.col("code_id").alias("object_id"), F.lit("code_undefined").alias("problem")),
+            by_excerpt.select(F.col("excerpt_id").alias("object_id"), F.lit("excerpt_missing").alias("problem")),
         ]
     )
 

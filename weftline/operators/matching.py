@@ -259,13 +259,12 @@ def hit_places(hits: DataFrame) -> DataFrame:
     return hits.groupBy("sheet_row", "pid", "unit").agg(F.count(F.lit(1)).alias("n"))
 
 
-def resolve_unique(
-    hits: DataFrame, quotes: DataFrame, unit_label: str = "unit"
-) -> tuple[DataFrame, DataFrame, DataFrame]:
+def resolve_unique(hits: DataFrame, quotes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(filed, ambiguous, unmatched) sheet rows.
 
     A row with exactly one occurrence is filed.  Two occurrences are ambiguous even
-    inside one source.  The message lists all places; ``hit_places`` has them as rows.
+    inside one source.  The reason of an ambiguous row counts its hits and lists all places
+    that a pid or unit hint can choose from; ``hit_places`` has them as rows.
     """
     hits = checkpointed(hits)
     counts = hits.groupBy("sheet_row").agg(
@@ -285,12 +284,7 @@ def resolve_unique(
         "sheet_row",
         "hits",
         "places",
-        F.concat(
-            F.lit("appears in "), F.col("hits").cast("string"),
-            F.lit(f" documents - add a pid or {unit_label} column to disambiguate ("),
-            F.col("where"),
-            F.lit(")"),
-        ).alias("reason"),
+        F.concat(F.lit("hits_many: "), F.col("hits").cast("string"), F.lit(" in "), F.col("where")).alias("reason"),
     )
     unmatched = quotes.join(counts.select("sheet_row"), "sheet_row", "left_anti")
     return filed, ambiguous, unmatched

@@ -168,7 +168,7 @@ def roster_link(transcripts: DataFrame, roster: DataFrame) -> DataFrame:
             "path",
             F.coalesce("n.pid", "w.pid", F.lit("")).alias("pid"),
             F.when(F.col("n").isNotNull(), "student number").when(F.col("w").isNotNull(), "name match")
-            .otherwise("no match - fill in the pid by hand").alias("via"),
+            .otherwise("unmatched").alias("via"),
             F.coalesce("n.evidence", "w.evidence", F.lit("")).alias("evidence"),
         )
     )

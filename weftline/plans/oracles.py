@@ -162,7 +162,7 @@ and source_id in (select source_id from facets where quality = 'good')
   left join (select pid, case when min(quality) = max(quality) then min(quality) else '' end quality,
                     case when min(toxic) = max(toxic) then min(toxic) else '' end toxic from frame group by pid) a on s.pid = a.pid""")
 plain("sheet_row_gate", """
-select sheet_row, case when quote = '' or code = '' then 'row is missing a quote or a code' else '' end as reason
+select sheet_row, case when quote = '' or code = '' then 'row_incomplete' else '' end as reason
 from (select sheet_row, trim(quote) quote, trim(code) code from sheet) where quote <> '' or code <> ''
 """, sheet=expand(ad.SHEET))
 
@@ -183,11 +183,11 @@ KNOWN = dict(
 )
 plain("code_known_gate", """
 select sheet_row, case when bad = '' then all_codes else '' end as code_ids,
-       case when bad = '' then '' else concat('code not in codebook: ', bad) end as reason from judged
+       case when bad = '' then '' else concat('code_undefined: ', bad) end as reason from judged
 """, **SPLIT, **REGISTER, **KNOWN)
 plain("quote_min_length", f"""
 select sheet_row, case when length(nq) >= 8 then nq else '' end as nq,
-       case when length(nq) >= 8 then '' else 'quote too short to place reliably' end as reason
+       case when length(nq) >= 8 then '' else 'quote_below_minimum' end as reason
 from (select sheet_row, {fold('quote')} nq from (
  select sheet_row, quote from sheet union all select -sheet_row, substring(quote, 1, 2 + sheet_row % 12) from sheet))
 """, sheet=expand(ad.SHEET))
@@ -242,8 +242,8 @@ NARROW = dict(
 )
 RESOLVE = dict(
     counts="select sheet_row, count(*) n, count(distinct concat(pid, '/', unit)) places from kept group by sheet_row",
-    reasons="""select c.sheet_row, concat('appears in ', n, ' documents - add a pid or {unit} column to disambiguate (',
-      (select string_agg(pl, ', ' order by pl) from (select distinct concat('PID', pid, '/', unit) pl from kept k where k.sheet_row = c.sheet_row)), ')') reason
+    reasons="""select c.sheet_row, concat('hits_many: ', n, ' in ',
+      (select string_agg(pl, ', ' order by pl) from (select distinct concat('PID', pid, '/', unit) pl from kept k where k.sheet_row = c.sheet_row))) reason
       from counts c where n > 1""",
 )
 
@@ -363,7 +363,7 @@ FACETS = dict(facets="""select s.source_id, case when f.pid is not null then f.q
 text("facets_for_source", "select source_id, quality, toxic from facets", **FACETS)
 plain("roster_link", """
 select r.path, coalesce(i.pid, n.pid, '') as pid,
-       case when i.pid is not null then 'student number' when n.pid is not null then 'name match' else 'no match - fill in the pid by hand' end as via,
+       case when i.pid is not null then 'student number' when n.pid is not null then 'name match' else 'unmatched' end as via,
        coalesce(i.evidence, n.evidence, '') as evidence
 from recordings r
 left join (select path, arg_min(pid, ord) pid, arg_min(sid, ord) evidence from by_id group by path) i on r.path = i.path
@@ -656,7 +656,7 @@ CLASSES = dict(
 plain("redaction_class", 'select file, col as "column", class from classes', **PROFILE, **CLASSES)
 SHAPE = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({v}, '\\b[A-Z][A-Za-z]*', chr(1), 'g'), '[A-Za-z]+', 'aa', 'g'), chr(1), 'Aa', 'g'), '[0-9]+', '##', 'g')"
 plain("redacted_digest", f"""
-select c.file, c.col as "column", case when class = 'prose' then 'withheld: free text, the participant speaking'
+select c.file, c.col as "column", case when class = 'prose' then 'prose_withheld'
  when class = 'identifying' then (select string_agg({SHAPE.format(v='left(v, 48)')}, '; ' order by first) from firsts f where f.file = c.file and f.idx = c.idx and r <= 3)
  else examples end as "values" from classes c
 """, **PROFILE, **CLASSES)
@@ -750,10 +750,10 @@ select (select count(*) from (select distinct case when unit = '' then source_id
 from (select excerpt_id, count(distinct valence) k, count(*) n from codings group by excerpt_id)
 """)
 text("export_check", """
-select excerpt_id as object_id, 'text does not match its offsets' as problem from excerpts where start % 13 = 5
-union all select distinct code_id, 'coding refers to unknown code' from codings where code_id not in (select code_id from codes)
-union all select source_id, 'characters beyond the basic plane' from sources where regexp_matches(text, '[\\x{10000}-\\x{10FFFF}]')
-union all select x.excerpt_id, concat('offsets do not land in ', p.doc_id) from excerpts x join place p on x.source_id = p.source_id join docs d on p.doc_id = d.doc_id
+select excerpt_id as object_id, 'text_drift' as problem from excerpts where start % 13 = 5
+union all select distinct code_id, 'code_undefined' from codings where code_id not in (select code_id from codes)
+union all select source_id, 'wide_characters' from sources where regexp_matches(text, '[\\x{10000}-\\x{10FFFF}]')
+union all select x.excerpt_id, concat('span_misplaced: ', p.doc_id) from excerpts x join place p on x.source_id = p.source_id join docs d on p.doc_id = d.doc_id
  where start % 13 <> 5 and substring(d.text, cast(start + shift + 1 as int), end_ - start) <> x.text
 """.replace("\\\\", "\\"), **DOCS)
 SELECTIONS = dict(
@@ -795,9 +795,9 @@ where excerpt_id in (select excerpt_id from nxt) or excerpt_id in (select excerp
 EDITS = dict(
     e0=expand(ad.SPAN_EDITS),
     e="select e0.*, concat('X-', e0.source_id, '-', start, '-', end_) xid, length(s.text) n from e0 left join sources s on e0.source_id = s.source_id",
-    rejects="""select ord, xid excerpt_id, 'selection is outside the document' reason from e where op = 'save' and not (start >= 0 and start < end_ and end_ <= n)
-      union select ord, xid, concat('unknown code ', code_id) from e where op = 'save' and code_id not in (select code_id from codes)
-      union select ord, xid, concat('bad valence ', valence) from e where op = 'save' and valence not in ('', 'pos', 'neg', 'mixed', 'neutral')""",
+    rejects="""select ord, xid excerpt_id, 'span_outside_text' reason from e where op = 'save' and not (start >= 0 and start < end_ and end_ <= n)
+      union select ord, xid, concat('code_undefined: ', code_id) from e where op = 'save' and code_id not in (select code_id from codes)
+      union select ord, xid, concat('valence_undefined: ', valence) from e where op = 'save' and valence not in ('', 'pos', 'neg', 'mixed', 'neutral')""",
     lasts="select * from (select *, row_number() over (partition by xid, coder order by ord desc) r from e where ord not in (select ord from rejects)) where r = 1",
 )
 text("span_edits_rejects", "select ord, excerpt_id, reason from rejects", **EDITS)
@@ -867,8 +867,8 @@ from turns group by path, pid
 FILING = {**SPLIT, **REGISTER, **KNOWN, **{k: v for k, v in MATCH.items() if k not in ("sheet", "q")}}
 GATED = dict(
     gated=f"""select *, trim(quote) as q0, {FOLD_VALENCE} val, {fold('quote')} nq from judged where trim(quote) <> '' or trim(code) <> ''""",
-    outcome="""select *, case when q0 = '' or trim(code) = '' then 'row is missing a quote or a code' when bad <> '' then concat('code not in codebook: ', bad)
-      when val not in ('', 'pos', 'neg', 'mixed', 'neutral') then concat('unknown valence ''', val, '''') when length(nq) < 8 then 'quote too short to place reliably' end problem from gated""",
+    outcome="""select *, case when q0 = '' or trim(code) = '' then 'row_incomplete' when bad <> '' then concat('code_undefined: ', bad)
+      when val not in ('', 'pos', 'neg', 'mixed', 'neutral') then concat('valence_undefined: ', val) when length(nq) < 8 then 'quote_below_minimum' end problem from gated""",
     q="select sheet_row, nq from outcome where problem is null",
 )
 

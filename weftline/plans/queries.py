@@ -1054,7 +1054,7 @@ def unresolved_report(spark, sf):
     p = sheet_project(spark, sf)
     rows, gated = fi.gate_sheet(p, derive(spark, sf, ad.SHEET))
     hits = ma.match_quotes(rows.select("sheet_row", "nq"), p.sources).join(p.sources.select("source_id", "pid", "unit"), "source_id")
-    _, many, none = ma.resolve_unique(ma.hint_narrow(hits, rows), rows, p.unit_label)
+    _, many, none = ma.resolve_unique(ma.hint_narrow(hits, rows), rows)
     shown = rows.select("sheet_row", "quote")
     r5 = many.select("sheet_row", "reason").join(shown, "sheet_row")
     r6 = ma.fuzzy_closest(none.select("sheet_row", "nq"), p.sources).join(shown, "sheet_row")

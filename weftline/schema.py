@@ -27,6 +27,7 @@ NUMERIC = r"-?\d+(\.\d+)?"
 CODE_ID = r"[A-Z]{2,5}-[A-Z0-9-]+"
 CODE_MENTION = r"\b[A-Z]{2,6}-[A-Z0-9][A-Z0-9-]*\b"
 UNCATEGORISED = "Uncategorised"
+STUB_NOTE = "stub - needs a definition"
 # ---- end of fixed values ----
 
 

@@ -95,7 +95,7 @@ def scan_sheets(spark: SparkSession, path: str) -> DataFrame:
         found = _fields([c for c in df.columns if not c.startswith("_")])
         for needed in ("quote", "code"):
             if needed not in found:
-                raise ValueError(f"{g['paths'][0]} needs a '{needed}' column. Found: {g['head']}")
+                raise ValueError(f"no column of {g['paths'][0]} is read as {needed!r}; its header: {g['head']}")
         parts.append(
             df.select(
                 F.col("_file").alias("sheet_id"), F.col("_ord").alias("ord"),
