@@ -129,6 +129,8 @@ def greedy_spans(excerpts: DataFrame) -> DataFrame:
 def overlap_clash(new_spans: DataFrame, excerpts: DataFrame) -> DataFrame:
     """(new_id, excerpt_id): for each new span the first existing one it overlaps.
 
+    Rows that share a ``new_id`` are one new span: it gets one row, the first of what any
+    of them overlaps.
     Existing spans are swept from the right: at position ``a`` the earliest-starting
     span among those that end after ``a`` decides.  No pair of spans is ever formed,
     and positions are made distinct first, so a source is at most its own length.
@@ -147,5 +149,7 @@ def overlap_clash(new_spans: DataFrame, excerpts: DataFrame) -> DataFrame:
     return (
         new_spans.join(answer, ["source_id", "start"])
         .where(F.col("best.start") < F.col("end"))
+        .groupBy("new_id")
+        .agg(F.min("best").alias("best"))
         .select("new_id", F.col("best.excerpt_id").alias("excerpt_id"))
     )
