@@ -485,3 +485,26 @@ def test_pipeline(spark, docs):
     assert all(r.text == before[r.doc_id] for r in clean.itertuples() if r.doc_id not in dirty)
     assert not any(base_of(t) for t in safe["text"]) and len(safe) == len(clean)
     assert set(packed["doc_id"]) == set(safe["doc_id"])
+
+
+def test_all_findings_of_secrets_are_learned_from(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "PART", 200)
+    rng = np.random.default_rng(6)
+    drawn = lambda signs, n: "".join(rng.choice(list(signs), n))
+    full = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    rows = [(i, f"a river token = {drawn('0123456789abcdef', 40)} was {drawn('0123456789', 16)} there") for i in range(500)]
+    rows += [(1000 + i, f"the house {drawn(full, 39)}7 of stone") for i in range(20)]
+    found = secrets.find_candidates(frame(spark, rows).select("doc_id", "text")).drop("text")
+    met, begin = [], secrets.per_part
+
+    def noted(findings, parts, work, schema):
+        met.append((findings.count(), parts))
+        return begin(findings, parts, work, schema)
+
+    monkeypatch.setattr(secrets, "per_part", noted)
+    net = secrets.fit(found)
+    whole = found.select(F.explode("candidates")).count()
+    assert set(met) == {(whole, -(-whole // 200))} and whole > 1000
+    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secrets.judged(found, net).collect()}
+    assert np.mean([got[1000 + i] == ["learned"] for i in range(20)]) >= 0.9
+    assert np.mean(["learned" not in got[i] for i in range(500)]) > 0.99

@@ -13,6 +13,10 @@ have no say in it, for a secret that no pattern knows is one of them.  For the s
 networks of one half of the findings judge the other half first, and the other candidates
 that reach their threshold are not learned from.  Spans of patterns always stay; the
 network adds candidates that reach the threshold.
+
+All findings of a table are learned from, and all that are held back calibrate the score
+and set the threshold.  They are dealt to parts by a hash; a task trains on one part, the
+networks of all parts are averaged, and the next round begins with the average.
 """
 
 from __future__ import annotations
@@ -20,9 +24,11 @@ from __future__ import annotations
 import base64
 import re
 import string
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +50,12 @@ BASE62 = string.digits + string.ascii_letters
 CONTEXT = 16
 FILTERS, REACH, EPOCHS = 24, 5, 12
 SYMBOLS = 2 * 129  # ASCII and one for the rest, outside and inside
-#: Bound of the findings learned from, of either label.
-PER_LABEL = 4000
+#: Findings of a part, about, and rounds of training where there is more than one part.
+PART, ROUNDS = 1000, 4
+#: Symbols that a batch is closed at, and characters up to which a value is shown in other notations.
+BATCH_SYMBOLS, SHOWN_LONGEST = 1 << 17, 4096
+#: Raw scores of held findings are counted in steps of one in so many, up to a limit.
+STEPS, FARTHEST = 256, 256
 RECALL = 0.98
 
 CANDIDATE = "struct<kind:string,start:int,end:int,left:string,value:string,right:string>"
@@ -92,6 +102,7 @@ class Network:
     filters: np.ndarray  # REACH x SYMBOLS x FILTERS
     bias: np.ndarray
     out: np.ndarray  # bias last
+    seen: list[np.ndarray]  # squared gradients of the three so far
     scale: np.ndarray = None  # calibration: slope, shift
     threshold: float = 1.1
 
@@ -110,21 +121,18 @@ class Network:
 
     def raw(self, rows: list[np.ndarray]) -> np.ndarray:
         out = np.empty(len(rows))
-        for at in range(0, len(rows), 128):
-            best, _ = self.responses(rows[at : at + 128])
-            out[at : at + 128] = best @ self.out[:-1] + self.out[-1]
+        for picked in batches_of(np.arange(len(rows)), rows, 128):
+            best, _ = self.responses([rows[i] for i in picked])
+            out[picked] = best @ self.out[:-1] + self.out[-1]
         return out
 
     def probability(self, rows: list[np.ndarray]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.raw(rows) * self.scale[0] + self.scale[1], -30, 30)))
 
-    def learn(self, rows: list[np.ndarray], y: np.ndarray, rng: np.random.Generator, rate: float = 0.05) -> None:
-        seen = [np.full_like(x, 1e-4) for x in (self.filters, self.bias, self.out)]
+    def learn(self, rows: list[np.ndarray], y: np.ndarray, rng: np.random.Generator, epochs: int = EPOCHS, rate: float = 0.05) -> None:
         flat_of = lambda picked: np.concatenate([rows[i] for i in picked])
-        for _ in range(EPOCHS):
-            order = rng.permutation(len(rows))
-            for at in range(0, len(order), 64):
-                picked = order[at : at + 64]
+        for _ in range(epochs):
+            for picked in batches_of(rng.permutation(len(rows)), rows, 64):
                 best, place = self.responses([rows[i] for i in picked])
                 p = 1 / (1 + np.exp(-np.clip(best @ self.out[:-1] + self.out[-1], -30, 30)))
                 error = (p - y[picked]) / len(picked)
@@ -134,14 +142,42 @@ class Network:
                 for k in range(REACH):
                     np.add.at(step[k], (flat[place + k], columns), back)
                 steps = (step, back.sum(axis=0), np.append(best.T @ error, error.sum()).astype(np.float32))
-                for value, change, total in zip((self.filters, self.bias, self.out), steps, seen):
+                for value, change, total in zip((self.filters, self.bias, self.out), steps, self.seen):
                     total += change**2
                     value -= rate * change / np.sqrt(total)
 
+    def state(self) -> np.ndarray:
+        """What training changes, as one row of numbers."""
+        return np.concatenate([x.ravel() for x in (self.filters, self.bias, self.out, *self.seen)])
+
+
+def network(state: np.ndarray | None = None) -> Network:
+    """A network before training, or one in this state."""
+    shapes = ((REACH, SYMBOLS, FILTERS), (FILTERS,), (FILTERS + 1,))
+    if state is None:
+        rng = np.random.default_rng(5)
+        own = [rng.normal(0, 0.1, shapes[0]).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.3, FILTERS + 1).astype(np.float32)]
+        return Network(*own, [np.full(x, 1e-4, np.float32) for x in shapes])
+    cuts = np.cumsum([int(np.prod(x)) for x in shapes * 2])[:-1]
+    values = [x.reshape(shape).astype(np.float32) for x, shape in zip(np.split(state, cuts), shapes * 2)]
+    return Network(*values[:3], values[3:])
+
+
+def batches_of(order: np.ndarray, rows: list[np.ndarray], most: int):
+    """``order`` in batches of at most ``most`` rows; rows with many symbols make smaller ones."""
+    begin, size = 0, 0
+    for at, i in enumerate(order):
+        if at > begin and (at - begin == most or size + len(rows[i]) > BATCH_SYMBOLS):
+            yield order[begin:at]
+            begin, size = at, 0
+        size += len(rows[i])
+    if len(order):
+        yield order[begin:]
+
 
 def other_notations(value: str, rng: np.random.Generator) -> list[str]:
     """A key of hexadecimal digits in capitals, base64 and its kin and base 62, whole and at other lengths."""
-    if not re.fullmatch("(?:[0-9a-f]{2})+", value):
+    if len(value) > SHOWN_LONGEST or not re.fullmatch("(?:[0-9a-f]{2})+", value):
         return []
     key, out = bytes.fromhex(value), [value.upper()]
     for size in (len(key), *rng.integers(12, 49, 2)):
@@ -172,62 +208,133 @@ def without_keyword(confirmed: list[tuple], others: list[tuple], rng: np.random.
     return out
 
 
-def learned(seen: list[tuple], held: list[tuple], around: list[tuple]) -> Network:
-    """A network from ``seen`` findings (label, left, value, right), calibrated on ``held`` ones.
-
-    Confirmed values are shown in the surroundings of ``around``: other candidates, those
-    that are not learned from among them.
-    """
-    rng = np.random.default_rng(5)
-    confirmed, kept = ([p for p in x if p[0]] for x in (seen, held))
-    blank = [(label, " " * len(left), value, " " * len(right)) for label, left, value, right in seen if not label]
-    shown = [*seen, *without_keyword(confirmed, around, rng), *blank]
-    net = Network(
-        rng.normal(0, 0.1, (REACH, SYMBOLS, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.3, FILTERS + 1).astype(np.float32)
-    )
-    net.learn([symbols(*s[1:]) for s in shown], np.array([s[0] for s in shown], np.float32), rng)
-    bare = without_keyword(kept, around, rng)
-    y = np.array([h[0] for h in [*held, *bare]], float)
-    net.scale = logistic_fit(net.raw([symbols(*h[1:]) for h in [*held, *bare]])[:, None], y, np.ones(len(y)))
-    # Only what would be a candidate without a pattern tells how sure the network has to be.
-    bare = [b for b in bare if WIDE.fullmatch(b[2]) and DIGIT.search(b[2])]
-    right = np.sort(net.probability([symbols(*b[1:]) for b in bare])) if bare else np.array([0.5])
-    net.threshold = float(right[int((1 - RECALL) * len(right))])
-    return net
-
-
 def unlike_confirmed(findings: list[tuple], net: Network | None) -> list[tuple]:
-    """``findings`` without the other candidates that a network takes for secrets."""
+    """``findings`` (label, left, value, right) without the other candidates that a network takes for secrets."""
     if net is None or not findings:
         return findings
     score = net.probability([symbols(*p[1:]) for p in findings])
     return [p for p, s in zip(findings, score) if p[0] or s < net.threshold]
 
 
-def fit(found: DataFrame, per_label: int = PER_LABEL) -> Network | None:
-    """A network from ``found`` (doc_id, candidates); None where a label has no candidates.
+#: Findings are dealt to eight folds by a hash: two are held, three each make a half.
+HELD, HALVES = frozenset({3, 7}), (frozenset({0, 1, 2}), frozenset({4, 5, 6}))
+ALL = frozenset(range(8))
 
-    At most ``per_label`` candidates of each label are taken, in the order of a hash of
-    the document, place and value.
-    """
+
+@dataclass
+class Part:
+    """The findings of a part that are in some folds, as far as judges leave them, and its other candidates."""
+
+    rows: list[tuple]
+    around: list[tuple]
+
+
+def part_of(findings: pd.DataFrame, folds: frozenset, judges: list[tuple[frozenset, Network | None]]) -> Part:
+    """``judges`` are (folds, network): a network that has not seen those folds."""
+    findings = findings.sort_values(["at", "label", "value", "left", "right"])
+    fold = (findings["at"].to_numpy() % 8).tolist()
+    each = list(zip(findings["label"], findings["left"], findings["value"], findings["right"]))
+    own = [(f, e) for f, e in zip(fold, each) if f in folds]
+    rows = []
+    for some, net in judges or [(ALL, None)]:
+        rows += unlike_confirmed([e for f, e in own if f in some], net)
+    return Part(rows, [e for e in each if not e[0]])
+
+
+def shown_for_learning(part: Part, rng: np.random.Generator) -> list[tuple]:
+    """Findings as they are, confirmed values without their keyword, others without surroundings."""
+    confirmed = [p for p in part.rows if p[0]]
+    blank = [(label, " " * len(left), value, " " * len(right)) for label, left, value, right in part.rows if not label]
+    return [*part.rows, *without_keyword(confirmed, part.around, rng), *blank]
+
+
+def per_part(findings: DataFrame, parts: int, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``work`` over each part, in a task of its own where hashes allow."""
+    return findings.repartition(parts, "part").groupBy("part").applyInPandas(work, schema)
+
+
+def trained(findings: DataFrame, parts: int, folds: frozenset, judges: list) -> Network | None:
+    """A network from all findings in ``folds`` that the judges leave; None where a label has none."""
+    shared = findings.sparkSession.sparkContext.broadcast
+
+    def begin(net: Network, epochs: int, judges: list):
+        sent = shared((net.state(), judges))
+
+        def work(pdf: pd.DataFrame) -> pd.DataFrame:
+            state, judges = sent.value
+            net, rng, part = network(state), np.random.default_rng([5, int(pdf["part"].iloc[0])]), part_of(pdf, folds, judges)
+            shown = shown_for_learning(part, rng)
+            if not shown:
+                return pd.DataFrame({"part": [], "weight": [], "labels": [], "state": []})
+            net.learn([symbols(*s[1:]) for s in shown], np.array([s[0] for s in shown], np.float32), rng, epochs)
+            labels = sum(1 << label for label in {p[0] for p in part.rows})
+            return pd.DataFrame({"part": [pdf["part"].iloc[0]], "weight": [float(len(shown))], "labels": [labels], "state": [net.state().tobytes()]})
+
+        return work
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
+        mixed = sum(w * np.frombuffer(s, np.float32).astype(float) for w, s in zip(pdf["weight"], pdf["state"]))
+        return pd.DataFrame({"few": [pdf["few"].iloc[0]], "weight": [pdf["weight"].sum()], "labels": [np.bitwise_or.reduce(pdf["labels"])], "state": [mixed.tobytes()]})
+
+    net = network()
+    for epochs in [EPOCHS] if parts == 1 else [EPOCHS // ROUNDS] * ROUNDS:
+        each = per_part(findings, parts, begin(net, epochs, judges), "part long, weight double, labels int, state binary")
+        few = each.withColumn("few", F.pmod("part", F.lit(16))).groupBy("few").applyInPandas(total, "few long, weight double, labels int, state binary")
+        sums = sorted(few.collect())
+        if not sums or np.bitwise_or.reduce([r["labels"] for r in sums]) != 3:
+            return None
+        net = network(sum(np.frombuffer(r["state"], float) for r in sums) / sum(r["weight"] for r in sums))
+    return net
+
+
+def calibrated(net: Network | None, findings: DataFrame, parts: int, folds: frozenset, judges: list) -> Network | None:
+    """``net`` with scale and threshold from all findings in ``folds``; their raw scores are counted in small steps."""
+    if net is None:
+        return None
+    sent = findings.sparkSession.sparkContext.broadcast((net, judges))
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        net, judges = sent.value
+        part, rng = part_of(pdf, folds, judges), np.random.default_rng([6, int(pdf["part"].iloc[0])])
+        bare = without_keyword([p for p in part.rows if p[0]], part.around, rng)
+        # Only what would be a candidate without a pattern tells how sure the network has to be.
+        deciding = [bool(WIDE.fullmatch(b[2]) and DIGIT.search(b[2])) for b in bare]
+        rows = [*part.rows, *bare]
+        raw = net.raw([symbols(*h[1:]) for h in rows]) if rows else np.zeros(0)
+        step = np.floor(np.clip(raw, -FARTHEST, FARTHEST) * STEPS).astype(np.int64)
+        counts = pd.DataFrame({"step": step, "label": [int(h[0]) for h in rows], "deciding": [False] * len(part.rows) + deciding})
+        return counts.groupby(["step", "label", "deciding"]).size().reset_index(name="n")
+
+    counted = per_part(findings, parts, work, "step long, label int, deciding boolean, n long").groupBy("step", "label", "deciding").agg(F.sum("n").alias("n"))
+    held = counted.toPandas().sort_values(["step", "label", "deciding"])
+    raw = held["step"].to_numpy() / STEPS
+    net.scale = logistic_fit(raw[:, None], held["label"].to_numpy(float), held["n"].to_numpy(float)) if len(held) else np.array([1.0, 0.0])
+    bare = held[held["deciding"]].assign(p=lambda x: 1 / (1 + np.exp(-np.clip(x["step"] / STEPS * net.scale[0] + net.scale[1], -30, 30)))).sort_values("p")
+    upto = bare["n"].cumsum().to_numpy()
+    net.threshold = float(bare["p"].iloc[np.searchsorted(upto, int((1 - RECALL) * upto[-1]), "right")]) if len(bare) else 0.5
+    return net
+
+
+def fit(found: DataFrame) -> Network | None:
+    """A network from all candidates of ``found`` (doc_id, candidates); None where a label has none."""
     each = found.select("doc_id", F.explode("candidates").alias("c")).select("doc_id", "c.*")
-    picks = []
-    for label, wanted in ((1, F.col("kind") != "wide"), (0, F.col("kind") == "wide")):
-        dealt = F.xxhash64("doc_id", "start", "value")
-        picked = each.where(wanted & (F.length("value") <= 4096)).select("left", "value", "right", dealt.alias("at")).orderBy("at", "value", "left", "right").limit(per_label)
-        picks += [(label, r["left"], r["value"], r["right"]) for r in picked.collect()]
-    if len({p[0] for p in picks}) < 2:
+    at = F.xxhash64("doc_id", "start", "value", "kind").bitwiseAND(F.lit((1 << 62) - 1))
+    findings = each.select((F.col("kind") != "wide").cast("int").alias("label"), "left", "value", "right", at.alias("at"))
+    counts = {(r["label"], r["fold"]): r["count"] for r in findings.groupBy("label", (F.col("at") % 8).alias("fold")).count().collect()}
+    both = lambda folds: len({label for label, fold in counts if fold in folds}) == 2
+    if not both(ALL):
         return None
-    held = [p for i, p in enumerate(picks) if i % 4 == 3] or picks
-    seen = [p for i, p in enumerate(picks) if i % 4 != 3]
+    parts = -(-sum(counts.values()) // PART)
+    findings = written(findings.withColumn("part", F.pmod(F.shiftright("at", 8), F.lit(parts))), "findings")
+    held = HELD if both(HELD) else ALL
+    seen = ALL - HELD if both(ALL - HELD) else ALL
     # Each half is judged by a network that has not seen it, the held by the second half's.
-    halves, clear, kept, around = (seen[::2], seen[1::2]), [], held, [p for p in picks if not p[0]]
-    for half, other in (halves, halves[::-1]):
-        net = learned(other, held, around) if len({p[0] for p in other}) == 2 else None
-        clear += unlike_confirmed(half, net)
-        kept = unlike_confirmed(held, net) if half is halves[0] else kept
+    first, second = (calibrated(trained(findings, parts, half, []), findings, parts, held, []) if both(half) else None for half in HALVES)
+    judges, held_judges = [(HALVES[0], second), (HALVES[1], first), (HELD, None)], [(ALL, second)]
+    net = calibrated(trained(findings, parts, seen, judges), findings, parts, held, held_judges)
     # Where every other candidate looks like a confirmed value, none is left to learn from.
-    return learned(clear, kept, around) if len({p[0] for p in clear}) == 2 else net or learned(seen, held, around)
+    return net or first or calibrated(trained(findings, parts, seen, []), findings, parts, held, [])
 
 
 def find_candidates(docs: DataFrame) -> DataFrame:
@@ -283,7 +390,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """(doc_id, spans) of every row of ``docs`` (doc_id, text); offsets are code points.
 
     Candidates are written once to the shared folder, without the texts; the network learns
-    from a bounded part of them and scores them all.  Without findings, or without other
+    from all of them and scores them all.  Without findings, or without other
     candidates, there is no network and the patterns stand alone.
     """
     found = written(find_candidates(docs.select("doc_id", "text")).drop("text"), "candidates")
