@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import strip, word_count
 from weftline.functions.values import kappa, kappa_band, pct
-from weftline.operators.ordered import global_ordinal
+from weftline.operators.ordered import checkpointed, global_ordinal
 from weftline.operators.segments import text_sizes, with_cut
 from weftline.operators.statistics import codings_excerpts, in_frame
 from weftline.project import Project, blank, keys, union_all
@@ -353,7 +353,8 @@ def coder_pairs(project: Project) -> DataFrame:
 
 def kappa_order(kappas: DataFrame) -> DataFrame:
     """``kappas`` with ``place``: lowest agreement first, undefined last, ties by code."""
-    keyed = kappas.withColumn("_none", F.col("kappa").isNull())
+    # one row a code; numbering looks at its input more than once
+    keyed = checkpointed(kappas.withColumn("_none", F.col("kappa").isNull()))
     return global_ordinal(keyed, ["_none", "kappa", "code_id"]).drop("_none")
 
 
