@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from weftline.llm import attribution, chat, decontaminate, language, packing, secrets, simhash, token_files, toxicity, weighted_sampling
+from weftline.llm.common import written
 from weftline.llm.queries import QUERIES
 from weftline.llm.tokens import Encoder
 
@@ -404,6 +405,21 @@ def test_links_in_crowded_places(spark):
     assert [roots.get(v, v) for v in values] == [values[i] for i in linked(values)]
 
 
+def test_simhash_sends_no_table_of_unknown_rows(spark, monkeypatch):
+    rows = [(i, f"a row of {i // 3} words and {i // 3} more " * 3 + "." * (i % 3)) for i in range(60)]
+    plan, found = (lambda df: df._jdf.queryExecution().executedPlan().toString()), []
+    for most in (simhash.BROADCAST_ROWS, -1):
+        plans = {}
+        monkeypatch.setattr(simhash, "BROADCAST_ROWS", most)
+        monkeypatch.setattr(simhash, "written", lambda df, name, plans=plans: (plans.setdefault(name, []).append(plan(df)), written(df, name))[1])
+        out = simhash.near_duplicates(frame(spark, rows))
+        found.append(sorted(tuple(r) for r in out.collect()))
+        assert "BroadcastExchange" not in plan(out) + "".join(plans["components"])
+        assert "BroadcastExchange" not in plans["edges"][0], "the exploded fingerprints"
+        assert ("BroadcastExchange" in "".join(plans["crowded"] + plans["edges"])) == (most > 0)
+    assert found[0] == found[1]
+
+
 def test_simhash_of_odd_rows(spark):
     got = simhash.near_duplicates(frame(spark, ODD)).collect()
     by = {r["doc_id"]: r for r in got}

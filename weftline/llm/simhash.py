@@ -10,6 +10,10 @@ differing bits.  Points with more would give all pairs, so their fingerprints ar
 on the exact analogue instead: themselves with one bit flipped or none.  All that share
 such a value are within 2 bits of each other, and a link to the smallest of them keeps
 the group connected with one link a member.  Nothing is capped, no link gets lost.
+
+Joins name their method: Spark would take a table for as small as its compressed file, before
+it is exploded, and gather it in the driver.  A table is sent to every task only if it is known to
+have at most ``BROADCAST_ROWS`` rows; all others are merged.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ from weftline.llm.common import map_batches, written
 SEED = 42
 SHINGLE = 3
 DISTANCE = 2
+#: Rows of a table that goes through the driver to every task: some 10 MB there.
+BROADCAST_ROWS = 100_000
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -99,15 +105,22 @@ def _flips(fps: DataFrame) -> DataFrame:
     return bits.select(F.expr("CASE WHEN bit = 64 THEN fp ELSE fp ^ shiftleft(1L, bit) END").alias("near"), "fp")
 
 
+def _join(left: DataFrame, right: DataFrame, on: str, how: str = "inner", rows: int | None = None) -> DataFrame:
+    """A join by merging, or by sending ``right`` to every task if its ``rows`` are known to be few."""
+    few = rows is not None and rows <= BROADCAST_ROWS
+    return left.join(right.hint("broadcast" if few else "merge"), on, how)
+
+
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints: all of 2 bits or fewer are connected by them."""
     met = _grid(fps).groupBy("point").agg(F.count("fp").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
     met = written(met.where("n > 1"), "points")
     pairs = met.where((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)).select("a", "b")
-    crowded = written(_grid(fps).join(met.where("n > 2").select("point"), "point").select("fp").distinct(), "crowded")
+    points = met.where("n > 2").select("point")
+    crowded = written(_join(_grid(fps), points, "point", rows=points.count()).select("fp").distinct(), "crowded")
     near = _flips(crowded)
     least = near.groupBy("near").agg(F.min("fp").alias("b"), F.count("fp").alias("n")).where("n > 1").select("near", "b")
-    stars = near.join(least, "near").where("fp <> b").select(F.col("fp").alias("a"), "b")
+    stars = _join(near, least, "near").where("fp <> b").select(F.col("fp").alias("a"), "b")
     return pairs.union(stars).distinct()
 
 
@@ -118,15 +131,20 @@ def components(edges: DataFrame) -> DataFrame:
     are linked to the smallest of them.  A round is written to the shared folder; rounds
     end when one changes nothing.  They grow with the logarithm of the longest path.
     """
-    state, edges = None, written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+
+    def measured(edges: DataFrame):
+        return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    state = measured(edges)
     while True:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = _join(both, least, "a", rows=2 * state[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
+        small = _join(large, least, "a", rows=state[0]).where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
         edges = written(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = measured(edges)
         if now == state:
             break
         state = now
@@ -146,10 +164,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first"))
     nodes = written(nodes, "nodes")
     roots = components(links(nodes.select("fp")))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = _join(nodes, roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = written(rooted.join(least, "root").select("fp", "component_id"), "components")
-    found = marked.where("doc_id is not null").join(named, "fp").select("doc_id", "fp", "component_id")
+    named = written(_join(rooted, least, "root").select("fp", "component_id"), "components")
+    found = _join(marked.where("doc_id is not null"), named, "fp").select("doc_id", "fp", "component_id")
     return found.union(marked.where("doc_id is null").select("doc_id", "fp", F.lit(None).cast("long")))
 
 
