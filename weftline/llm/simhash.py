@@ -31,7 +31,7 @@ from weftline.llm.common import map_batches, written
 SEED = 42
 SHINGLE = 3
 DISTANCE = 2
-#: Rows of a table that goes through the driver to every task: some 10 MB there.
+#: Rows that a table may have to go through the driver to every task.
 BROADCAST_ROWS = 100_000
 
 
@@ -177,4 +177,4 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     Of rows that share that id one is kept.  Rows without an id are all kept.
     """
     kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
+    return _join(docs, kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
